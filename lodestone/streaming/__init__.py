@@ -1,0 +1 @@
+"""The engine has no streaming operators: every query of its scope is a batch SELECT."""
