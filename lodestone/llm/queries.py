@@ -7,10 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup
+from lodestone.llm import bpe, exact_dedup, warc
+from lodestone.llm.common import new_folder
 from lodestone.sources import read_table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def word_bpe() -> str:
+    """The 49k word vocabulary's file."""
+    import public_tokenizers
+
+    return bpe.read_definition(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = word_bpe()
+    found = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), definition), definition)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"),
+        F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.deduplicate(read_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -24,8 +47,8 @@ WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {"op3_warc": op3_warc, "op7_bpe": op7_bpe, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op3_warc": op3_warc, "op7_bpe": op7_bpe, "op8_exact_dedup": OP8_SQL}
