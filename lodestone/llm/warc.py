@@ -78,7 +78,7 @@ def cuts(rows: DataFrame, shard_bytes: int) -> list[int]:
     while todo:
         start, end = todo.pop()
         width = (end - start) // FINE + 1
-        ranges = rows.where(F.col("id").between(start, end)).groupBy(F.expr(f"CAST((CAST(id AS DECIMAL(20,0)) - CAST('{start}' AS DECIMAL(20,0))) DIV CAST('{width}' AS DECIMAL(20,0)) AS INT)").alias("r")).agg(F.sum("size").alias("size"))
+        ranges = rows.where(F.col("id").between(start, end)).groupBy(F.expr(f"CAST((CAST(id AS DECIMAL(20,0)) - CAST('{start}' AS DECIMAL(20,0))) DIV CAST('{width}' AS DECIMAL(20,0)) AS BIGINT)").alias("r")).agg(F.sum("size").alias("size"))
         crowded = []
         for r, size in sorted(ranges.collect()):  # FINE rows at most
             first = start + r * width
