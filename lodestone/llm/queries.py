@@ -7,17 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, warc
+from lodestone.llm import bpe, exact_dedup, html_text, jaccard, packing, quality, token_counts, topk, warc
 from lodestone.llm.common import new_folder
 from lodestone.sources import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write(read_table(spark, sf_dir, "pages"), folder)
     return warc.read(spark, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) AS r
+WHERE rank <= 10
+"""
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def word_bpe() -> str:
     """The 49k word vocabulary's file."""
     import public_tokenizers
@@ -39,6 +69,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after three edits made by rule (token_counts.sample_edits)."""
+    import public_tokenizers
+
+    ranks, pattern = token_counts.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    docs = read_table(spark, sf_dir, "documents").withColumn("edits", token_counts.sample_edits(F.col("doc_id"), F.col("text")))
+    found = token_counts.apply_edits(token_counts.trees(docs, ranks, pattern, keep=("edits",)), ranks, pattern)
+    return found.select(F.col("id").alias("doc_id"), "n_before", "n_tokens", "n_edits", "encoded_chars", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe())
+
+
 OP8_SQL = r"""
 SELECT doc_id, MIN(doc_id) OVER w AS keep_id, COUNT(*) OVER w AS group_size, doc_id = MIN(doc_id) OVER w AS kept, text_sha256
 FROM (SELECT doc_id, sha256(regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents) AS t
@@ -47,8 +91,8 @@ WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_warc": op3_warc, "op7_bpe": op7_bpe, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_quality": op1_quality, "op2_html": op2_html, "op3_warc": op3_warc, "op4_topk": op4_topk, "op6_jaccard": op6_jaccard, "op7_bpe": op7_bpe, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": op3_warc, "op7_bpe": op7_bpe, "op8_exact_dedup": OP8_SQL}
+    return {"op1_quality": op1_quality, "op2_html": op2_html, "op3_warc": op3_warc, "op4_topk": op4_topk, "op6_jaccard": op6_jaccard, "op7_bpe": op7_bpe, "op8_exact_dedup": OP8_SQL}
