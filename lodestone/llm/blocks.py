@@ -122,10 +122,9 @@ class Blocks:
                     if with_counts:
                         marked = np.repeat(unpack(row["marks"], np.uint8), unpack(row["lengths"], np.uint32)) > 0
                         counts = np.bincount(unpack(row["place"], np.uint32)[unpack(row["positions"], np.uint32)[marked]], minlength=len(words))
-                    for b in range(buckets):
-                        start, end = (ends[b - 1] if b else 0), ends[b]
-                        if end > start:
-                            yield pa.RecordBatch.from_pydict({"bucket": [b], "block": [row["block"]], "words": [pack_words(words[start:end])], "counts": [pack(counts[start:end].astype(np.uint32))]}, schema=_REQUEST)
+                    spans = [(b, start, end) for b, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if end > start]
+                    packed = [(b, row["block"], pack_words(words[start:end]), pack(counts[start:end].astype(np.uint32))) for b, start, end in spans]
+                    yield pa.RecordBatch.from_pylist([dict(zip(_REQUEST.names, r, strict=True)) for r in packed], schema=_REQUEST)
 
         def answer(table: pa.Table) -> pa.Table:
             number: dict[bytes, int] = defaultdict(count().__next__)

@@ -129,7 +129,8 @@ def decode(encoded: DataFrame, definition: str) -> DataFrame:
     size = max(tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [load(definition).id_to_token(i) for i in range(size)]
+        vocabulary = load(definition)  # once: a lookup compares whole definitions
+        table = [vocabulary.id_to_token(i) for i in range(size)]
         piece, number = pa.array(table, pa.string()), pa.array([str(i) for i in range(size)])
         gaps = any(p is None for p in table)
         for whole in batches:
