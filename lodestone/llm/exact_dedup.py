@@ -67,7 +67,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of a table that stay, with all their columns, each text once per id."""
-    outcome = deduplicate(docs, DigestIndex(docs.sparkSession, buckets=max(8, partitions(docs))), id_col, text_col)
-    kept = outcome.where("kept").select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of a table that stay, with all their columns: one for each text, rows repeated under its id included."""
+    index = DigestIndex(docs.sparkSession, buckets=max(8, partitions(docs)))
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    kept = deduplicate(docs, index, id_col, text_col).where("kept").select(key(F.col("id")).alias("__key"), F.col("digest").alias("__digest")).distinct()
+    rows = docs.withColumns({"__key": key(F.col(id_col).cast("long")), "__digest": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
+    # One exchange of the texts: the join and the removal of repeated rows deal by the same two columns.
+    return rows.join(kept.hint("merge"), ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select(*docs.columns)

@@ -342,3 +342,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     full = out.where("digest IS NOT NULL").join(named, "digest").select("id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(out.where("digest IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of a table whose id is the smallest of its component, with all their columns. Rows without an id stay: nothing
+    names them; rows of one id share one outcome, and are dropped if one of them is."""
+    dropped = join(docs, id_col, text_col, n, percent).where("id <> component_id").select(F.col("id").alias("__id")).distinct()
+    return docs.withColumn("__id", F.col(id_col).cast("long")).join(dropped, "__id", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, html_text, jaccard, packing, quality, token_counts, topk, warc
+from lodestone.llm import bpe, exact_dedup, html_text, jaccard, lm, packing, quality, token_counts, topk, warc
 from lodestone.llm.common import new_folder
 from lodestone.sources import read_table
 
@@ -44,6 +44,10 @@ WHERE rank <= 10
 """
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"), word_bpe()).withColumnRenamed("id", "doc_id")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -83,6 +87,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_bpe())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP8_SQL = r"""
 SELECT doc_id, MIN(doc_id) OVER w AS keep_id, COUNT(*) OVER w AS group_size, doc_id = MIN(doc_id) OVER w AS kept, text_sha256
 FROM (SELECT doc_id, sha256(regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents) AS t
@@ -91,8 +101,8 @@ WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_html": op2_html, "op3_warc": op3_warc, "op4_topk": op4_topk, "op6_jaccard": op6_jaccard, "op7_bpe": op7_bpe, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_packing": op10_packing}
+    return {"op1_quality": op1_quality, "op2_html": op2_html, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_lm": op5_lm, "op6_jaccard": op6_jaccard, "op7_bpe": op7_bpe, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_packing": op10_packing, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": op1_quality, "op2_html": op2_html, "op3_warc": op3_warc, "op4_topk": op4_topk, "op6_jaccard": op6_jaccard, "op7_bpe": op7_bpe, "op8_exact_dedup": OP8_SQL}
+    return {"op1_quality": op1_quality, "op2_html": op2_html, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_lm": op5_lm, "op6_jaccard": op6_jaccard, "op7_bpe": op7_bpe, "op8_exact_dedup": OP8_SQL}
