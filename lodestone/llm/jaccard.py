@@ -189,8 +189,9 @@ def ties(suspects: DataFrame, percent: int, buckets: int) -> DataFrame:
         near = (key[1:] == key[:-1]) & (owner[1:] != owner[:-1]) & (100 * n[owner[:-1]] >= percent * n[owner[1:]])
         names, found = list(number), Forest(len(number))
         pairs = np.unique(np.stack([owner[:-1][near], owner[1:][near]]), axis=1).T.tolist() if near.any() else []
-        out = [(names[a], names[b]) for a, b in pairs if found.union(a, b)]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+        for a, b in pairs:
+            found.union(a, b)
+        return _stars(names, found)
 
     sent = suspects.mapInArrow(send, "bucket int, keys binary, owner binary, digests binary, sizes binary")
     return sent.groupBy("bucket").applyInArrow(tie, "a binary, b binary")
@@ -215,6 +216,16 @@ class Forest:
         return True
 
 
+def _stars(names: list[bytes], forest: Forest) -> pa.Table:
+    """(a, b): every member of a component of two or more with the component's least name: paths stay short for what follows."""
+    roots = [forest.find(i) for i in range(len(names))]
+    least: dict[int, bytes] = {}
+    for name, root in zip(names, roots, strict=True):
+        least[root] = min(name, least.get(root, name))
+    out = [(name, least[root]) for name, root in zip(names, roots, strict=True) if name != least[root]]
+    return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+
+
 class _Node:
     __slots__ = ("segment", "children", "sets", "low", "high", "depth", "any", "one")
 
@@ -321,8 +332,10 @@ def _joined(suspects: DataFrame, groups: DataFrame, percent: int, task_grams: in
 
     def run(table: pa.Table) -> pa.Table:
         digests = table["digest"].to_pylist()
-        out = tree_join([np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]], percent)
-        return pa.table({"a": pa.array([digests[i] for i, _ in out], pa.binary()), "b": pa.array([digests[j] for _, j in out], pa.binary())})
+        found = Forest(len(digests))
+        for a, b in tree_join([np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]], percent):
+            found.union(a, b)
+        return _stars(digests, found)
 
     return dealt.groupBy("root", "task").applyInArrow(run, "a binary, b binary")
 
