@@ -101,8 +101,9 @@ WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_html": op2_html, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_lm": op5_lm, "op6_jaccard": op6_jaccard, "op7_bpe": op7_bpe, "op8_exact_dedup": op8_exact_dedup, "op9_token_counts": op9_token_counts, "op10_packing": op10_packing, "pipeline": pipeline}
+    own = (op1_quality, op2_html, op3_warc, op4_topk, op5_lm, op6_jaccard, op7_bpe, op8_exact_dedup, op9_token_counts, op10_packing, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": op1_quality, "op2_html": op2_html, "op3_warc": op3_warc, "op4_topk": op4_topk, "op5_lm": op5_lm, "op6_jaccard": op6_jaccard, "op7_bpe": op7_bpe, "op8_exact_dedup": OP8_SQL}
+    return {"op4_topk": OP4_SQL, "op8_exact_dedup": OP8_SQL}
