@@ -71,6 +71,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     index = DigestIndex(docs.sparkSession, buckets=max(8, partitions(docs)))
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     kept = deduplicate(docs, index, id_col, text_col).where("kept").select(key(F.col("id")).alias("__key"), F.col("digest").alias("__digest")).distinct()
-    rows = docs.withColumns({"__key": key(F.col(id_col).cast("long")), "__digest": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
+    rows = docs.select(F.struct("*").alias("row"), key(F.col(id_col).cast("long")).alias("__key"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("__digest"))
     # One exchange of the texts: the join and the removal of repeated rows deal by the same two columns.
-    return rows.join(kept.hint("merge"), ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select(*docs.columns)
+    return rows.join(kept.hint("merge"), ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select("row.*")

@@ -361,4 +361,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """The rows of a table whose id is the smallest of its component, with all their columns. Rows without an id stay: nothing
     names them; rows of one id share one outcome, and are dropped if one of them is."""
     dropped = join(docs, id_col, text_col, n, percent).where("id <> component_id").select(F.col("id").alias("__id")).distinct()
-    return docs.withColumn("__id", F.col(id_col).cast("long")).join(dropped, "__id", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("__id"))
+    return rows.join(dropped, "__id", "left_anti").select("row.*")
