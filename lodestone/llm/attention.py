@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH = 24
+WIDTH = 16
 #: Inputs to a window, and how many of a later window's tokens are scored: the others are context.
 WINDOW, STRIDE = 32, 24
-CLASSES = 128
+CLASSES = 96
 ROWS = 4096
 _SHARED = 512
 _NAMES = ("E", "P", "Q", "K", "V", "U1", "U2", "b")
@@ -81,9 +81,8 @@ def _attention(p: dict[str, np.ndarray], rows: np.ndarray, last: int) -> tuple[n
 def log_probabilities(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, targets: np.ndarray, last: int) -> np.ndarray:
     """Natural logarithms of the probabilities of the last targets of each window."""
     _, own, *_, seen = _attention(p, inventory.row[inputs], last)
-    logits = own.reshape(-1, WIDTH) @ p["U1"]
-    logits += seen.reshape(-1, WIDTH) @ p["U2"]
-    logits += p["b"]
+    known = np.concatenate([own, seen, np.ones((*own.shape[:2], 1), np.float32)], 2).reshape(-1, 2 * WIDTH + 1)
+    logits = known @ np.vstack([p["U1"], p["U2"], p["b"]])  # one product, one pass over the logits
     flat = targets[:, -last:].reshape(-1)
     chosen = logits[np.arange(len(flat)), inventory.of[flat]]
     np.exp(logits, out=logits)
@@ -135,7 +134,7 @@ class Adam:
             p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
-def score_sequences(p: dict[str, np.ndarray], inventory: Inventory, flat: np.ndarray, ends: np.ndarray, batch: int = 1024) -> np.ndarray:
+def score_sequences(p: dict[str, np.ndarray], inventory: Inventory, flat: np.ndarray, ends: np.ndarray, batch: int = 256) -> np.ndarray:
     """Log probability of every token of sequences that stand one after another (each ends where ends says), each token once.
 
     A sequence's first window scores all its tokens, each later one its last STRIDE: they have at least WINDOW - STRIDE tokens of context.

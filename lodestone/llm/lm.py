@@ -2,7 +2,7 @@
 
 All counts (words, subwords, documents) are exact over all training documents, from the table of distinct words. The attention
 model learns from every training document, a window of it for each SAMPLE tokens begun: partitions train from common weights, their weights
-are averaged in a tree, and so on for ROUNDS rounds. Scoring goes over overlapping windows, each token once (see attention).
+are averaged in a tree, and so on for ROUNDS rounds of one pass (more where a partition has few windows, to make MIN_STEPS steps). Scoring goes over overlapping windows, each token once (see attention).
 
 A word's probability is MIX of the attention model's (the product over its subwords, with what stands before as context) and 1 - MIX
 of its smoothed frequency; the end of the text is a token of both. A word that has no subwords counts by its frequency.
@@ -29,12 +29,13 @@ from lodestone.llm.bpe import load, spread, word_ids
 from lodestone.llm.common import fold, materialize
 from lodestone.llm.sums import partition_sums, tree_sum
 
-MIX = 0.5
-SAMPLE = 512
+MIX = 0.25
+SAMPLE = 1024
 ROUNDS = 4
 BATCH = 32
 #: Windows that one partition trains on in a round.
 PART_WINDOWS = 8192
+MIN_STEPS = 200
 RATE = 0.01
 CHUNK_WORDS = 1 << 17
 
@@ -133,21 +134,20 @@ def train(windows: DataFrame, inventory: attention.Inventory, rounds: int = ROUN
     width = len(attention.flatten(weights))
 
     def learn(batches: Iterator[pa.RecordBatch], begin: dict[str, np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
-        p, seen = {k: v.copy() for k, v in begin.items()}, 0
+        p = {k: v.copy() for k, v in begin.items()}
         adam, rng = attention.Adam(p, RATE / (1 + turn)), np.random.default_rng(turn)
-        for batch in batches:
-            ids = np.array([np.frombuffer(x.as_py(), np.int32) for x in batch["ids"]]).reshape(-1, attention.WINDOW + 1)
-            ids = ids[rng.permutation(len(ids))]
-            full = np.flatnonzero((ids >= 0).all(1))  # windows that a document doesn't fill are of one length each
-            short = np.flatnonzero(~(ids >= 0).all(1))
-            sizes = (ids[short] >= 0).sum(1)
-            groups = [full[s : s + BATCH] for s in range(0, len(full), BATCH)] + [short[sizes == n] for n in np.unique(sizes)]
-            for group in groups:
-                own = ids[group][:, : int((ids[group[0]] >= 0).sum())]
-                if own.shape[1] > 1:
-                    _, g = attention.gradients(p, inventory.row[own[:, :-1]], inventory.of[own[:, 1:]])
-                    adam.step(p, g)
-            seen += len(ids)
+        held = [np.frombuffer(x.as_py(), np.int32) for batch in batches for x in batch["ids"]]  # about PART_WINDOWS
+        ids, seen = np.array(held, np.int32).reshape(-1, attention.WINDOW + 1), len(held)
+        filled = (ids >= 0).sum(1)
+        while seen:  # whole passes, at least MIN_STEPS steps
+            order = rng.permutation(seen)
+            groups = [order[filled[order] == n] for n in np.unique(filled)]  # windows of one length go together
+            for group in (g[s : s + BATCH] for g in groups for s in range(0, len(g), BATCH)):
+                own = ids[group][:, : filled[group[0]]]
+                _, g = attention.gradients(p, inventory.row[own[:, :-1]], inventory.of[own[:, 1:]])
+                adam.step(p, g)
+            if adam.t >= MIN_STEPS:
+                break
         if seen:
             yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "sums": [np.append(attention.flatten(p) * seen, seen).tobytes()]}, schema=pa.schema([("at", pa.int64()), ("sums", pa.binary())]))
 
@@ -185,7 +185,7 @@ def score(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: st
             stop = np.cumsum(n)
             upto = np.concatenate([[0.0], np.cumsum(of)])
             by_word = upto[stop] - upto[stop - n]
-            mixed = np.where(n > 0, np.maximum(by_word, base) + np.log10(np.where(by_word >= base, MIX, 1 - MIX) + np.where(by_word >= base, 1 - MIX, MIX) * 10 ** -np.abs(by_word - base)), base)
+            mixed = np.where(n > 0, np.logaddexp(by_word * math.log(10) + math.log(MIX), base * math.log(10) + math.log(1 - MIX)) / math.log(10), base)
             doc_ends = word_ends + np.arange(1, len(word_ends) + 1)
             doc_starts = np.concatenate([[0], doc_ends[:-1]])
             rows = [words.ids[docs], words.marks[docs] == 0, doc_ends - doc_starts, np.add.reduceat(known, doc_starts), np.full(len(doc_ends), total), np.add.reduceat(base, doc_starts), np.add.reduceat(mixed, doc_starts)]
