@@ -14,9 +14,10 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset (tests on one machine) a temporary one is set."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    context = spark.sparkContext
+    if not (base := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
