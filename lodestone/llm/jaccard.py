@@ -118,8 +118,8 @@ def _document_frequencies(blocks: Blocks, n: int, buckets: int, bits: int) -> Da
 
 
 def ordered_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, n, digest, head, keys) of every document. keys: the set in global order (rarity in the top byte, then hash), null
-    unless one of its first ``head`` n-grams stands in another set too; then head counts those first n-grams."""
+    """(id, n, digest, head, keys) of every document. keys: the set's n-grams that stand in other sets too, in global order (rarity
+    in the top byte, then hash); null unless some are among the set's first ones, by which it can be found: those are the first ``head`` of them."""
     blocks = write_blocks(docs, id_col, text_col, lower=True, block_bytes=block_bytes)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = min(_BITS, max(24, size.bit_length() + 7))
@@ -136,8 +136,9 @@ def ordered_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, pe
             if f and len(own):
                 order = np.sort(own | rarity[np.searchsorted(every, own >> np.uint64(_BITS - bits))])
                 most = len(own) - -(-percent * len(own) // 100) + 1
-                if int(order[most - 1] >> np.uint64(_BITS)) > 1:
-                    head, keys = most, order.tobytes()
+                alone = int(np.searchsorted(order, np.uint64(2 << _BITS)))
+                if most > alone:
+                    head, keys = most - alone, order[alone:].tobytes()
             rows.append((doc_id, len(own), digest, head, keys))
         for start in range(0, len(rows), 1024):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[start : start + 1024], strict=True), schema, strict=True)], schema=schema)
@@ -145,10 +146,6 @@ def ordered_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, pe
     return materialize(blocks.resolve(answers, read, "id long, n long, digest binary, head int, keys binary"), "sets")
 
 
-def _rare(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(_BITS)) > 1
-
-
 def ties(suspects: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(a, b) digests: sets that share one of their first n-grams, chained by size. suspects: (digest, n, head, keys), one row per set or more."""
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owner", pa.binary()), ("digests", pa.binary()), ("sizes", pa.binary())])
@@ -156,7 +153,6 @@ def ties(suspects: DataFrame, percent: int, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = [np.frombuffer(k.as_py(), np.uint64)[: h.as_py()] for k, h in zip(batch["keys"], batch["head"], strict=True)]
-            heads = [h[_rare(h)] for h in heads]
             if not heads:
                 continue
             keys, owner = np.concatenate(heads), np.repeat(np.arange(len(heads), dtype=np.uint32), [len(h) for h in heads])
@@ -227,44 +223,45 @@ def _stars(names: list[bytes], forest: Forest) -> pa.Table:
 
 
 class _Node:
-    __slots__ = ("segment", "children", "sets", "low", "high", "depth", "any", "one")
+    __slots__ = ("segment", "children", "sets", "low", "high", "most", "depth", "any", "one")
 
-    def __init__(self, segment: np.ndarray, depth: int, size: int, member: int):
+    def __init__(self, segment: np.ndarray, depth: int, size: int, most: int, member: int):
         self.segment, self.depth = segment, depth  # depth: n-grams on the path, this segment included
         self.children: dict[int, _Node] = {}
-        self.sets: list[int] = []
+        self.sets: list[tuple[int, int]] = []  # (set, its size)
         self.low = self.high = size
+        self.most = most  # the longest path of the subtree
         self.any, self.one = member, True  # a member of the subtree; whether all are in its component
 
 
 class PrefixTree:
-    """Sets as sorted arrays of numbers, in a tree of shared prefixes."""
+    """Sets as sorted arrays of numbers, in a tree of shared prefixes. A set's size may be more than its array's: the rest is in no other set."""
 
     def __init__(self, percent: int, universe: int, forest: Forest):
         self.percent, self.forest, self.mark = percent, forest, np.zeros(universe, bool)
-        self.root = _Node(np.empty(0, np.int64), 0, 1 << 60, -1)
+        self.root = _Node(np.empty(0, np.int64), 0, 1 << 60, 0, -1)
         self.root.high = 0
 
-    def insert(self, member: int, x: np.ndarray) -> None:
+    def insert(self, member: int, x: np.ndarray, size: int) -> None:
         node, at = self.root, 0
         while True:
-            node.low, node.high = min(node.low, len(x)), max(node.high, len(x))
+            node.low, node.high, node.most = min(node.low, size), max(node.high, size), max(node.most, len(x))
             node.one = node.one and (node.any < 0 or self.forest.find(node.any) == self.forest.find(member))
             node.any = member if node.any < 0 else node.any
             if at == len(x):
-                node.sets.append(member)
+                node.sets.append((member, size))
                 return
             child = node.children.get(int(x[at]))
             if child is None:
-                leaf = _Node(x[at:], len(x), len(x), member)
-                leaf.sets.append(member)
+                leaf = _Node(x[at:], len(x), size, len(x), member)
+                leaf.sets.append((member, size))
                 node.children[int(x[at])] = leaf
                 return
             k = min(len(child.segment), len(x) - at)
             same = child.segment[:k] == x[at : at + k]
             shared = k if same.all() else int(np.argmin(same))
             if shared < len(child.segment):  # the child is split where the paths part
-                top = _Node(child.segment[:shared], node.depth + shared, child.low, child.any)
+                top = _Node(child.segment[:shared], node.depth + shared, child.low, child.most, child.any)
                 top.high, top.one = child.high, child.one
                 child.segment = child.segment[shared:]
                 top.children[int(child.segment[0])] = child
@@ -272,9 +269,9 @@ class PrefixTree:
                 child = top
             node, at = child, at + shared
 
-    def link(self, member: int, x: np.ndarray, found: list[tuple[int, int]]) -> None:
-        """Join a set with those in the tree: at least one link to every component that it links to."""
-        mark, forest, n, t = self.mark, self.forest, len(x), self.percent
+    def link(self, member: int, x: np.ndarray, n: int, found: list[tuple[int, int]]) -> None:
+        """Join a set of size n with those in the tree: at least one link to every component that it links to."""
+        mark, forest, t = self.mark, self.forest, self.percent
         mark[x] = True
         stack = [(self.root, 0)]
         while stack:
@@ -284,16 +281,17 @@ class PrefixTree:
             if len(node.segment):
                 overlap += int(np.count_nonzero(mark[node.segment]))
             last = node.segment[-1] if len(node.segment) else -1
-            rest = n - int(np.searchsorted(x, last, "right"))
-            # A set of size m in the subtree shares at most overlap + min(rest, m - depth), and needs t (n + m) / (100 + t).
+            rest = len(x) - int(np.searchsorted(x, last, "right"))
+            # A set of size m in the subtree, with a path of c <= min(m, most), shares at most overlap + min(rest, c - depth), and
+            # needs t (n + m) / (100 + t).
             high = min(node.high, 100 * n // t)
             low = max(node.low, -(-t * n // 100))
-            if low > high or (100 + t) * (overlap + min(rest, high - node.depth)) < t * (n + low):
+            if low > high or (100 + t) * (overlap + min(rest, node.most - node.depth)) < t * (n + low):
                 continue
-            if (100 + t) * (overlap + high - node.depth) < t * (n + high):
+            best = max(low, min(high, node.most))
+            if (100 + t) * (overlap + min(node.most, best) - node.depth) < t * (n + best):
                 continue
-            for other in node.sets:
-                m = node.depth
+            for other, m in node.sets:
                 if forest.find(other) != forest.find(member) and (100 + t) * overlap >= t * (n + m):
                     forest.union(other, member)
                     found.append((other, member))
@@ -302,38 +300,42 @@ class PrefixTree:
         mark[x] = False
 
 
-def tree_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links among sets (sorted arrays of keys): a spanning forest of all that reach the threshold."""
+def tree_join(sets: list[np.ndarray], percent: int = PERCENT, sizes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links among sets (sorted arrays of keys): a spanning forest of all that reach the threshold. sizes: of the whole sets,
+    where keys that no other set has were left out."""
     if len(sets) < 2:
         return []
+    sizes = sizes or [len(s) for s in sets]
     keys, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(keys), np.int64)
     rank[np.lexsort((keys, -count))] = np.arange(len(keys))
     own = [np.sort(x) for x in np.split(rank[number], np.cumsum([len(s) for s in sets])[:-1])]
     forest, found = Forest(len(sets)), []
     tree = PrefixTree(percent, len(keys), forest)
-    for i in sorted(range(len(sets)), key=lambda i: len(own[i])):
-        tree.link(i, own[i], found)
-        tree.insert(i, own[i])
+    for i in sorted(range(len(sets)), key=lambda i: sizes[i]):
+        tree.link(i, own[i], sizes[i], found)
+        tree.insert(i, own[i], sizes[i])
     return found
 
 
-def _joined(suspects: DataFrame, groups: DataFrame, percent: int, task_grams: int) -> DataFrame:
-    """(a, b) links within groups. suspects: (digest, n, keys), distinct; groups: (node, root)."""
-    rows = suspects.join(groups, suspects["digest"] == groups["node"]).select("root", "digest", "n", "keys")
-    sizes = groups.join(suspects.select("digest", "n"), groups["node"] == suspects["digest"]).groupBy("root").agg(F.sum("n").alias("grams"))
-    parts = sizes.select("root", F.ceil(F.col("grams") / task_grams).cast("int").alias("parts"))
+def _joined(sent: DataFrame, groups: DataFrame, percent: int, task_grams: int) -> DataFrame:
+    """(a, b) links within groups. sent: (digest, n, keys), a row per set or more; groups: (node, root). Keys are shuffled twice: to meet
+    their group and to meet each other."""
+    sizes = groups.join(sent.groupBy("digest").agg(F.max(F.octet_length("keys")).alias("size")), groups["node"] == F.col("digest")).groupBy("root").agg(F.sum("size").alias("size"))
+    parts = groups.join(sizes.select("root", F.ceil(F.col("size") / (8 * task_grams)).cast("int").alias("parts")), "root")
+    parts = materialize(parts, "parts")
+    rows = sent.join(parts, sent["digest"] == parts["node"]).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "keys", "root", "parts")))
     own = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
     # Part p takes part in the tasks (p, q) for all other parts q: with one part in one task, with m parts in m - 1.
     tasks = F.when(F.col("parts") < 2, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(
         F.expr("transform(filter(sequence(0, parts - 1), q -> q <> own), q -> struct(least(own, q) AS p, greatest(own, q) AS q))")
     )
-    dealt = rows.join(parts, "root").withColumn("own", own).withColumn("task", F.explode(tasks)).select("root", "task", "digest", "keys")
+    dealt = rows.withColumn("own", own).withColumn("task", F.explode(tasks)).select("root", "task", "digest", "n", "keys")
 
     def run(table: pa.Table) -> pa.Table:
         digests = table["digest"].to_pylist()
         found = Forest(len(digests))
-        for a, b in tree_join([np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]], percent):
+        for a, b in tree_join([np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]], percent, table["n"].to_pylist()):
             found.union(a, b)
         return _stars(digests, found)
 
@@ -346,8 +348,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     buckets = max(partitions(docs), 8)
     sent = sets.where("keys IS NOT NULL").select("digest", "n", "head", "keys")
     groups = materialize(components(ties(sent, percent, buckets)), "groups")
-    suspects = sent.join(groups.select(F.col("node").alias("digest")), "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    linked = components(_joined(materialize(suspects, "suspects"), groups, percent, task_grams))
+    linked = components(_joined(sent.select("digest", "n", "keys"), groups, percent, task_grams))
     least = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     owned = least.join(linked, least["digest"] == linked["node"], "left").select("digest", "id", F.coalesce("root", "digest").alias("root"))
     owned = materialize(owned, "owned")

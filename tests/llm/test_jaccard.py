@@ -73,7 +73,7 @@ def test_edge_cases_small_blocks_and_split_components(spark):
 @pytest.mark.parametrize("seed", range(6))
 def test_tree_join_against_all_pairs(seed):
     rng = np.random.default_rng(seed)
-    base = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(25)]
+    base = [np.unique(rng.integers(0, 90, rng.integers(1, 40))) for _ in range(25)]
     sets = [*base, *(np.unique(np.append(b[rng.random(len(b)) > 0.08], rng.integers(0, 60, rng.integers(0, 2)))) for b in base for _ in range(3))]
     sets = [s.astype(np.uint64) for s in {tuple(s.tolist()): s for s in sets if len(s)}.values()]
     forest, got = jaccard.Forest(len(sets)), jaccard.Forest(len(sets))
@@ -88,6 +88,13 @@ def test_tree_join_against_all_pairs(seed):
         assert frozenset((a, b)) in links
         got.union(a, b)
     assert [forest.find(i) for i in range(len(sets))] == [got.find(i) for i in range(len(sets))]
+    keys, count = np.unique(np.concatenate(sets), return_counts=True)
+    less = [s[np.isin(s, keys[count > 1])] for s in sets]
+    again = jaccard.Forest(len(sets))
+    for a, b in jaccard.tree_join(less, sizes=[len(s) for s in sets]):
+        assert frozenset((a, b)) in links
+        again.union(a, b)
+    assert [forest.find(i) for i in range(len(sets))] == [again.find(i) for i in range(len(sets))]
 
 
 def test_components(spark):
