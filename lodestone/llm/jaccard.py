@@ -10,7 +10,7 @@
    component already. A component that is too large for a task is cut into parts, and each pair of parts is a task.
 4. The links found (a forest for each task) and equal sets give the components of documents.
 
-Equal sets are one node, so copies aren't expanded; a common n-gram makes a chain of ties, not pairs. Hashes of n-grams have 56
+Equal sets are one node, so copies aren't expanded; a common n-gram makes a chain of ties, not pairs, and is chained within each batch before it is sent. Hashes of n-grams have 56
 bits and sets are told apart by 128 bits of their content: at a billion sets the chance of one wrong merger is below 1e-20.
 
 Defined results: texts that are null, empty or blank have no n-grams and link with nothing, not with each other; texts with fewer words
@@ -21,7 +21,9 @@ document with a null id is that of its set, and null if no other id is in it; an
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -95,13 +97,13 @@ def _document_frequencies(blocks: Blocks, n: int, buckets: int, bits: int) -> Da
         for batch in batches:
             for row in batch.to_pylist():
                 _, sets, _, first = sets_of(row, n)
-                key, count = np.unique(_together(sets, first) >> drop, return_counts=True)
+                key, holders = np.unique(_together(sets, first) >> drop, return_counts=True)
                 edges = np.searchsorted(key, np.arange(buckets, dtype=np.uint64) * share)
                 rows = []
                 for b, (start, end) in enumerate(zip(edges, [*edges[1:], len(key)], strict=True)):
                     if end > start:
                         steps = np.diff(key[start:end], prepend=np.uint64(b) * share)
-                        rows.append({"bucket": b, "block": row["block"], "steps": pack(steps.astype(np.uint32 if steps.max() < 1 << 32 else np.uint64)), "counts": pack(np.minimum(count[start:end], 255).astype(np.uint8))})
+                        rows.append({"bucket": b, "block": row["block"], "steps": pack(steps.astype(np.uint32 if steps.max() < 1 << 32 else np.uint64)), "counts": pack(np.minimum(holders[start:end], 255).astype(np.uint8))})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
@@ -147,49 +149,62 @@ def ordered_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, pe
 
 
 def ties(suspects: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(a, b) digests: sets that share one of their first n-grams, chained by size. suspects: (digest, n, head, keys), one row per set or more."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owner", pa.binary()), ("digests", pa.binary()), ("sizes", pa.binary())])
+    """(a, b) digests: sets that share one of their first n-grams, and whose sizes allow a link, or stand between such. suspects: (digest, n, head, keys), one
+    row per set or more.
+
+    A batch chains its own holders of an n-gram by size and sends a run of them as one interval of sizes, so what a bucket
+    gets of an n-gram grows with the batches, not with its holders; intervals that touch are tied there.
+    """
+    columns = ("keys", "holder", "low", "high", "digests", "ties")
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in columns)])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = [np.frombuffer(k.as_py(), np.uint64)[: h.as_py()] for k, h in zip(batch["keys"], batch["head"], strict=True)]
             if not heads:
                 continue
-            keys, owner = np.concatenate(heads), np.repeat(np.arange(len(heads), dtype=np.uint32), [len(h) for h in heads])
-            digests, sizes = batch["digest"].to_pylist(), batch["n"].to_numpy()
-            bucket = (_mixed(keys) % np.uint64(buckets)).astype(np.int32)
+            keys, owner = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+            digests, n = batch["digest"].to_pylist(), batch["n"].to_numpy()
+            order = np.lexsort((n[owner], keys))
+            keys, owner, size = keys[order], owner[order], n[owner[order]]
+            near = (keys[1:] == keys[:-1]) & (100 * size[:-1] >= percent * size[1:])
+            found = Forest(len(heads))
+            for x, y in np.unique(np.stack([owner[:-1][near], owner[1:][near]]), axis=1).T.tolist() if near.any() else ():
+                found.union(x, y)
+            stars = _stars(digests, found)
+            first = np.flatnonzero(np.append(True, ~near))
+            last = np.append(first[1:], len(keys)) - 1
+            bucket = (_mixed(keys[first]) % np.uint64(buckets)).astype(np.int32)
             rows = []
             for b in np.unique(bucket).tolist():
                 take = bucket == b
-                own, at = np.unique(owner[take], return_inverse=True)
-                rows.append({"bucket": b, "keys": keys[take].tobytes(), "owner": pack(at.astype(np.uint32)), "digests": b"".join(digests[i] for i in own), "sizes": pack(sizes[own].astype(np.uint32))})
+                own, at = np.unique(owner[first[take]], return_inverse=True)
+                rows.append({"bucket": b, "keys": keys[first[take]].tobytes(), "holder": pack(at.astype(np.uint32)), "low": pack(size[first[take]].astype(np.uint32)), "high": pack(size[last[take]].astype(np.uint32)), "digests": b"".join(digests[i] for i in own), "ties": b""})
+            rows[0]["ties"] = b"".join(x + y for x, y in zip(stars["a"].to_pylist(), stars["b"].to_pylist(), strict=True))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def tie(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        size: list[int] = []
-        keys, owners = [], []
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        parts: list[list[np.ndarray]] = []
+        pairs: list[tuple[int, int]] = []
         for row in table.to_pylist():
-            sizes, local = unpack(row["sizes"], np.uint32), []
-            for i, s in enumerate(sizes.tolist()):
-                d = row["digests"][16 * i : 16 * i + 16]
-                if d not in number:
-                    number[d] = len(size)
-                    size.append(s)
-                local.append(number[d])
-            keys.append(np.frombuffer(row["keys"], np.uint64))
-            owners.append(np.array(local, np.int64)[unpack(row["owner"], np.uint32)])
-        key, owner, n = np.concatenate(keys), np.concatenate(owners), np.array(size, np.int64)
-        order = np.lexsort((owner, n[owner], key))
-        key, owner = key[order], owner[order]
-        near = (key[1:] == key[:-1]) & (owner[1:] != owner[:-1]) & (100 * n[owner[:-1]] >= percent * n[owner[1:]])
-        names, found = list(number), Forest(len(number))
-        pairs = np.unique(np.stack([owner[:-1][near], owner[1:][near]]), axis=1).T.tolist() if near.any() else []
-        for a, b in pairs:
-            found.union(a, b)
-        return _stars(names, found)
-
-    sent = suspects.mapInArrow(send, "bucket int, keys binary, owner binary, digests binary, sizes binary")
+            names = [number[row["digests"][i : i + 16]] for i in range(0, len(row["digests"]), 16)]
+            parts.append([np.frombuffer(row["keys"], np.uint64), np.array(names, np.int64)[unpack(row["holder"], np.uint32)], unpack(row["low"], np.uint32).astype(np.int64), unpack(row["high"], np.uint32).astype(np.int64)])
+            pairs += [(number[row["ties"][i : i + 16]], number[row["ties"][i + 16 : i + 32]]) for i in range(0, len(row["ties"]), 32)]
+        key, holder, low, high = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((low, key))
+        key, holder, low, high = key[order], holder[order], low[order], high[order]
+        same = key[1:] == key[:-1]
+        rank = np.cumsum(np.append(0, ~same)).astype(np.int64) << 32
+        reach = (np.maximum.accumulate(rank | high) - rank)[:-1]  # the largest size so far among the n-gram's holders
+        near = same & (100 * reach >= percent * low[1:])
+        pairs += np.unique(np.stack([holder[:-1][near], holder[1:][near]]), axis=1).T.tolist() if near.any() else []
+        found = Forest(len(number))
+        for x, y in pairs:
+            found.union(x, y)
+        return _stars(list(number), found)
+
+    sent = suspects.mapInArrow(send, "bucket int, " + ", ".join(f"{c} binary" for c in columns))
     return sent.groupBy("bucket").applyInArrow(tie, "a binary, b binary")
 
 
@@ -306,9 +321,9 @@ def tree_join(sets: list[np.ndarray], percent: int = PERCENT, sizes: list[int] |
     if len(sets) < 2:
         return []
     sizes = sizes or [len(s) for s in sets]
-    keys, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keys, number, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(keys), np.int64)
-    rank[np.lexsort((keys, -count))] = np.arange(len(keys))
+    rank[np.lexsort((keys, -holders))] = np.arange(len(keys))
     own = [np.sort(x) for x in np.split(rank[number], np.cumsum([len(s) for s in sets])[:-1])]
     forest, found = Forest(len(sets)), []
     tree = PrefixTree(percent, len(keys), forest)
