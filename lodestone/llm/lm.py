@@ -1,8 +1,8 @@
 """Language-model scores of whole documents: a causal self-attention model over subword ids, mixed word by word with word frequencies.
 
 All counts (words, subwords, documents) are exact over all training documents, from the table of distinct words. The attention
-model learns from every training document, a window of it for each SAMPLE tokens begun: partitions train from common weights, their weights
-are averaged in a tree, and so on for ROUNDS rounds of one pass (more where a partition has few windows, to make MIN_STEPS steps). Scoring goes over overlapping windows, each token once (see attention).
+model learns from every token of every training document: windows tile the documents, so each token is a target once a pass. Partitions train
+from common weights, their weights are averaged in a tree, and so on for ROUNDS rounds of one pass (more where a partition has few windows, to make MIN_STEPS steps). Scoring goes over overlapping windows, each token once (see attention).
 
 A word's probability is MIX of the attention model's (the product over its subwords, with what stands before as context) and 1 - MIX
 of its smoothed frequency; the end of the text is a token of both. A word that has no subwords counts by its frequency.
@@ -30,11 +30,12 @@ from lodestone.llm.common import fold, materialize
 from lodestone.llm.sums import partition_sums, tree_sum
 
 MIX = 0.25
-SAMPLE = 1024
 ROUNDS = 4
 BATCH = 32
 #: Windows that one partition trains on in a round.
-PART_WINDOWS = 8192
+PART_WINDOWS = 32768
+#: Windows that travel in one row.
+RUN_WINDOWS = 256
 MIN_STEPS = 200
 RATE = 0.01
 CHUNK_WORDS = 1 << 17
@@ -104,28 +105,33 @@ class _Words:
             start = stop
 
 
-def _windows(blocks: Blocks, answers: DataFrame, end_id: int, start_id: int) -> DataFrame:
-    """(ids) of training windows: WINDOW + 1 ids each, the first the one before; short documents are padded with -1."""
-    size = attention.WINDOW + 1
+def tiles(ids: np.ndarray, ends: np.ndarray, take: np.ndarray, start_id: int) -> np.ndarray:
+    """Windows that tile the sequences to take (each ends where ends says): WINDOW + 1 ids each, the first the one before; the last of a
+    sequence is padded with -1. Each token of a sequence is in one window's last WINDOW ids, once."""
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    begin, end = begins[take], ends[take]
+    more = -(-(end - begin) // attention.WINDOW)
+    of = np.repeat(np.arange(len(begin)), more)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more)
+    index = (begin[of] + place * attention.WINDOW)[:, None] + np.arange(-1, attention.WINDOW)
+    own = ids[np.clip(index, 0, max(0, len(ids) - 1))] if len(ids) else index
+    return np.where(index < begin[of][:, None], start_id, np.where(index < end[of][:, None], own, -1)).astype(np.int32)
+
+
+def _windows(blocks: Blocks, answers: DataFrame, end_id: int, start_id: int, tokens: int, texts: int) -> DataFrame:
+    """(ids) of all training windows (see tiles), packed RUN_WINDOWS to a row. tokens, texts: of training text, for the number of partitions."""
 
     def read(row: dict, found: list[bytes]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(row["block"] & 0xFFFFFFFF)
         words = _Words(row, found)
         for docs, _, _, ids, ends in words.chunks(end_id):
-            begins = np.concatenate([[0], ends[:-1]])
-            take = words.marks[docs] > 0
-            begin, end = begins[take], ends[take]
-            of = np.repeat(np.arange(len(begin)), -(-(end - begin) // SAMPLE))
-            if not len(of):
-                continue
-            at = begin[of] + (rng.random(len(of)) * np.maximum(1, end[of] - begin[of] - attention.WINDOW + 1)).astype(np.int64)
-            index = at[:, None] + np.arange(-1, attention.WINDOW)
-            got = np.where(index < begin[of][:, None], start_id, np.where(index < end[of][:, None], ids[np.clip(index, 0, len(ids) - 1)], -1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in got], pa.binary())], names=["ids"])
+            got = tiles(ids, ends, words.marks[docs] > 0, start_id)
+            got = got[rng.permutation(len(got))]
+            yield pa.RecordBatch.from_arrays([pa.array([pack(got[s : s + RUN_WINDOWS].reshape(-1)) for s in range(0, len(got), RUN_WINDOWS)], pa.binary())], names=["ids"])
         yield pa.RecordBatch.from_arrays([pa.array([], pa.binary())], names=["ids"])
 
-    found = materialize(blocks.resolve(answers, read, "ids binary"), "windows")
-    return materialize(found.repartition(max(1, -(-found.count() // PART_WINDOWS))), "windows")
+    about = tokens // attention.WINDOW + texts
+    return materialize(blocks.resolve(answers, read, "ids binary").repartition(max(1, -(-about // PART_WINDOWS))), "windows")
 
 
 def train(windows: DataFrame, inventory: attention.Inventory, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -136,8 +142,9 @@ def train(windows: DataFrame, inventory: attention.Inventory, rounds: int = ROUN
     def learn(batches: Iterator[pa.RecordBatch], begin: dict[str, np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
         p = {k: v.copy() for k, v in begin.items()}
         adam, rng = attention.Adam(p, RATE / (1 + turn)), np.random.default_rng(turn)
-        held = [np.frombuffer(x.as_py(), np.int32) for batch in batches for x in batch["ids"]]  # about PART_WINDOWS
-        ids, seen = np.array(held, np.int32).reshape(-1, attention.WINDOW + 1), len(held)
+        held = [unpack(x.as_py(), np.int32) for batch in batches for x in batch["ids"]]  # about PART_WINDOWS
+        ids = np.concatenate([np.empty(0, np.int32), *held]).reshape(-1, attention.WINDOW + 1)
+        seen = len(ids)
         filled = (ids >= 0).sum(1)
         while seen:  # whole passes, at least MIN_STEPS steps
             order = rng.permutation(seen)
@@ -168,7 +175,7 @@ def score(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: st
     texts = docs.where(~held_out).count()
     distinct, total = int(sums[0]) + (texts > 0), int(sums[1]) + texts
     inventory = attention.Inventory(np.append(sums[2:], texts))  # the end has the id behind the vocabulary
-    weights = train(_windows(blocks, answers, size, inventory.start), inventory)
+    weights = train(_windows(blocks, answers, size, inventory.start, int(sums[2:].sum()) + texts, texts), inventory)
     divisor = math.log10(total + 0.5 * (distinct + 1))
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     end_base = math.log10(texts + 0.5) - divisor

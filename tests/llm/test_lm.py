@@ -54,6 +54,37 @@ def test_edge_cases(spark):
     assert lm.score(docs.limit(0), Q.word_bpe()).count() == 0
 
 
+def test_training_sees_every_token(spark):
+    rows = [(i, " ".join(f"w{(i + k) % 20}" for k in range(n))) for i, n in enumerate([3000, 400, 33, 1, 0, 40, 500])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, train = [], lm.train
+
+    def spied(windows, inventory, *a):
+        held = [lm.unpack(bytes(r.ids), np.int32).reshape(-1, A.WINDOW + 1) for r in windows.collect()]
+        seen.append((np.concatenate(held), inventory))
+        return train(windows, inventory, *a)
+
+    lm.train = spied
+    try:
+        got = lm.score(docs, Q.word_bpe()).collect()
+    finally:
+        lm.train = train
+    windows, inventory = seen[0]
+    flat, _ = lm.word_ids(Q.word_bpe(), [w.encode() for r in got if not r.held_out for w in words(dict(rows)[r.id])])
+    want = np.append(flat, [inventory.start - 1] * sum(not r.held_out for r in got))  # each text's end too
+    targets = windows[:, 1:]
+    assert Counter(targets[targets >= 0].tolist()) == Counter(want.tolist())
+
+
+def test_tiles_follow_each_other_within_a_sequence():
+    lengths = [1, 5, A.WINDOW, A.WINDOW + 1, 200, 77]
+    flat, ends = np.arange(sum(lengths)), np.cumsum(lengths)
+    got = lm.tiles(flat, ends, np.array([True, True, True, False, True, True]), 999)
+    assert sorted(got[:, 1:][got[:, 1:] >= 0].tolist()) == sorted(set(flat.tolist()) - set(range(38, 38 + A.WINDOW + 1)))
+    for w in got:
+        assert w[0] == (999 if w[1] in {0, *ends} else w[1] - 1) and set(np.diff(w[1:][w[1:] >= 0]).tolist()) <= {1}
+
+
 def small():
     rng = np.random.default_rng(0)
     inventory = A.Inventory(rng.integers(0, 50, 300).astype(float))
