@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH = 16
+WIDTH = 24
 #: Inputs to a window, and how many of a later window's tokens are scored: the others are context.
 WINDOW, STRIDE = 32, 24
-CLASSES = 96
+CLASSES = 128
 ROWS = 4096
 _SHARED = 512
 _NAMES = ("E", "P", "Q", "K", "V", "U1", "U2", "b")

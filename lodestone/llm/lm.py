@@ -29,7 +29,7 @@ from lodestone.llm.bpe import load, spread, word_ids
 from lodestone.llm.common import fold, materialize
 from lodestone.llm.sums import partition_sums, tree_sum
 
-MIX = 0.25
+MIX = 0.5
 ROUNDS = 4
 BATCH = 32
 #: Windows that one partition trains on in a round.

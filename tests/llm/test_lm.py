@@ -85,6 +85,16 @@ def test_tiles_follow_each_other_within_a_sequence():
         assert w[0] == (999 if w[1] in {0, *ends} else w[1] - 1) and set(np.diff(w[1:][w[1:] >= 0]).tolist()) <= {1}
 
 
+def test_attention_carries_the_score_where_context_tells_the_word(spark):
+    cycle = "the of and to in is for that with on as by at from it was be are this or".split()
+    rows = [(i, " ".join(cycle[(i + k) % 20] for k in range(400))) for i in range(60)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), Q.word_bpe()).collect()
+    held = [r for r in got if r.held_out]
+    tokens, base, score = (sum(r[k] for r in held) for k in (2, 5, 6))
+    # A quarter weight can't do better than this, however good the model is.
+    assert held and score / tokens > math.log10(0.25 + 0.75 * 10 ** (base / tokens)) + 0.1
+
+
 def small():
     rng = np.random.default_rng(0)
     inventory = A.Inventory(rng.integers(0, 50, 300).astype(float))
