@@ -3,7 +3,7 @@
 Every visible piece of text is emitted, in order. Blocks stand on lines of their own, with an empty line where the usual style
 has a margin; list items carry their marker and indent; table cells are aligned in columns; preformatted text keeps its white space.
 Not visible: what is never rendered (head, script, style, template ...), the hidden attribute, display:none and visibility:hidden in
-style attributes or in the page's own style rules on a tag, classes or an id, closed details and dialogs.
+style attributes or in the page's own style rules on a tag, classes or an id (in at-rule blocks, those that hold on any screen), closed details and dialogs.
 
 No scripts run, so noscript content shows. Tables nested deeper than TABLE_DEPTH are rendered as blocks, with all their text.
 
@@ -53,7 +53,8 @@ _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?>(?
 _TORN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_MARK = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+_ON_SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen)|not\s+print)?")
 _COMPOUND = re.compile(r"(?:([a-zA-Z][\w-]*)|\*)?((?:[.#][\w-]+)*)\Z")
 _HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none")
 _UNSEES = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)")
@@ -156,6 +157,43 @@ def build(page: str) -> Node:
     return root
 
 
+def _applies(prelude: str) -> bool:
+    """Whether the rules in an at-rule's block hold on any screen; blocks of other at-rules hold no style rules, or depend on sizes."""
+    name, _, condition = re.sub(r"^@([\w-]+)", r"\1 ", prelude.lower()).partition(" ")
+    if name == "media":
+        return any(_ON_SCREEN.fullmatch(query.strip()) for query in condition.split(","))
+    return name == "layer" or (name == "supports" and not condition.strip().startswith("not"))
+
+
+def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the style rules that hold on a screen, by balanced braces; rules nested in style rules are left out."""
+    sheet = re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)
+    # Open blocks: True if the rules inside apply, False if not, None for a style rule.
+    opened: list[bool | None] = [True]
+    start, selectors, own = 0, "", []
+    for m in _MARK.finditer(sheet):
+        before = sheet[start : m.start()]
+        if m[0] == "{":
+            prelude = before.strip()
+            if opened[-1] is not True:
+                opened.append(False)
+            elif prelude.startswith("@"):
+                opened.append(_applies(prelude))
+            else:
+                opened.append(None)
+                selectors, own = prelude, []
+        elif m[0] == "}":
+            if len(opened) > 1 and opened.pop() is None:
+                yield selectors, ";".join([*own, before])
+        elif m[0] != ";" or (opened[-1] is not None and not before.lstrip().startswith("@")):
+            continue
+        elif opened[-1] is None:
+            own.append(before)
+        start = m.end()
+    if opened[-1] is None:
+        yield selectors, ";".join([*own, sheet[start:]])
+
+
 class Rules:
     """The page's own style rules that hide: selectors of a tag, classes and an id, without combinators; later rules win."""
 
@@ -169,14 +207,14 @@ class Rules:
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def _add(self, sheet: str) -> None:
-        for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            style = m[2].lower()
+        for selectors, style in style_rules(sheet):
+            style = style.lower()
             shown = re.search(r"(?:^|;)\s*display\s*:\s*([\w-]+)", style)
             seen = _UNSEES.search(style)
             if not shown and not seen:
                 continue
-            for selector in m[1].split(","):
-                if (c := _COMPOUND.match(selector.strip())) is None or selector.strip().startswith("@"):
+            for selector in selectors.split(","):
+                if (c := _COMPOUND.match(selector.strip())) is None:
                     continue
                 parts = re.findall(r"[.#][\w-]+", c[2])
                 ids = [p[1:] for p in parts if p[0] == "#"]

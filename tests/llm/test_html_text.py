@@ -26,6 +26,18 @@ def test_rendering(page, want):
     assert H.render(page) == want
 
 
+@pytest.mark.parametrize(("sheet", "seen"), [
+    ("@media print{.x{display:none}}", True), ("@media (max-width:600px){.x{display:none}}", True), ("@media screen and (min-width:9px){.x{display:none}}", True),
+    ("@media print{.y{display:none}.x{visibility:hidden}} .z{display:none}", True), ("@media screen{@media print{.x{display:none}}}", True),
+    ("@container (width<9px){.x{display:none}}", True), ("@supports not (display:grid){.x{display:none}}", True), (".y{color:red;.x{display:none}}", True),
+    ("@media screen{.x{display:none}}", False), ("@media print, all{.x{display:none}}", False), ("@media only screen{.x{display:none}}", False),
+    ("@media print{.x{display:block}} .x{display:none}", False), ("@import 'a.css'; .x{display:none}", False), ("@layer a{.x{color:red;display:none}}", False),
+    (".y:before{content:'}'} .x{display:none}", False), ("@media print{" * 5000 + "}" * 5000 + ".x{display:none}", False),
+])
+def test_rules_in_blocks(sheet, seen):
+    assert H.render(f"<style>{sheet}</style><p class=x>a</p>b") == ("a\n\nb" if seen else "b")
+
+
 def test_deep_and_long():
     assert H.render("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert H.render("<table><tr><td>" * 300 + "x") == "x"
