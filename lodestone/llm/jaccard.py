@@ -357,8 +357,8 @@ def _joined(sent: DataFrame, groups: DataFrame, percent: int, task_grams: int) -
     return dealt.groupBy("root", "task").applyInArrow(run, "a binary, b binary")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, task_grams: int = TASK_GRAMS) -> DataFrame:
-    """(id, n_shingles, component_id) of every document; component_id: the smallest id that can be reached by links."""
+def _owned(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, block_bytes: int = BLOCK_BYTES, task_grams: int = TASK_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """(id, n, digest, head, keys) of every document, and (digest, id, root) of every set that isn't empty: its smallest id, its component."""
     sets = ordered_sets(docs, id_col, text_col, n, percent, block_bytes)
     buckets = max(partitions(docs), 8)
     sent = sets.where("keys IS NOT NULL").select("digest", "n", "head", "keys")
@@ -366,16 +366,41 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     linked = components(_joined(sent.select("digest", "n", "keys"), groups, percent, task_grams))
     least = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     owned = least.join(linked, least["digest"] == linked["node"], "left").select("digest", "id", F.coalesce("root", "digest").alias("root"))
-    owned = materialize(owned, "owned")
+    return sets, materialize(owned, "owned")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, task_grams: int = TASK_GRAMS) -> DataFrame:
+    """(id, n_shingles, component_id) of every document; component_id: the smallest id that can be reached by links."""
+    sets, owned = _owned(docs, id_col, text_col, n, percent, block_bytes, task_grams)
     named = materialize(owned.join(owned.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("digest", "component_id"), "named")
     out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     full = out.where("digest IS NOT NULL").join(named, "digest").select("id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(out.where("digest IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
+def set_digest(text: bytes, n: int = WORDS) -> bytes | None:
+    """The digest of a text's set, as sets_of has it; None where the set is empty."""
+    words = text.lower().split()
+    own = grams(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)), n)
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of a table whose id is the smallest of its component, with all their columns. Rows without an id stay: nothing
-    names them; rows of one id share one outcome, and are dropped if one of them is."""
-    dropped = join(docs, id_col, text_col, n, percent).where("id <> component_id").select(F.col("id").alias("__id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("__id"))
-    return rows.join(dropped, "__id", "left_anti").select("row.*")
+    """One row of each component, with all its columns: one with the smallest id (null ids last), and of several sets under that id the one
+    with the smallest digest. Rows without n-grams all stay."""
+    sets, owned = _owned(docs, id_col, text_col, n, percent)
+    least = owned.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("least"))
+    kept = materialize(least.select(F.col("least.digest").alias("__digest"), F.col("least.id").alias("kept_id")), "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
+    members = sets.where("n > 0 AND id IS NOT NULL").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).join(kept, "__digest", "left")
+    dropped = members.where("kept_id IS NULL OR kept_id <> __id").select("__id").distinct()
+    # An id names its row unless other rows have it too, or it is null: these rows are told apart by their sets.
+    shared = materialize(sets.groupBy("id").count().where("count > 1 OR id IS NULL").select(F.col("id").alias("__id")), "shared")
+    if shared.isEmpty():
+        return rows.join(dropped, "__id", "left_anti").select("row.*")
+    named = shared.where("__id IS NOT NULL")
+    sure = rows.where("__id IS NOT NULL").join(dropped.unionByName(named), "__id", "left_anti")
+    digests = F.arrow_udf(lambda texts: pa.array([set_digest(t.as_py(), n) for t in texts], pa.binary()), "binary")
+    unsure = rows.where("__id IS NULL").unionByName(rows.join(named, "__id", "left_semi")).withColumn("__digest", digests("__text"))
+    one = unsure.join(kept, "__digest").where(F.col("__id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["__digest"])
+    return sure.select("row").unionByName(unsure.where("__digest IS NULL").select("row")).unionByName(one.select("row")).select("row.*")

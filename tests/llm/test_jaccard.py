@@ -97,6 +97,21 @@ def test_tree_join_against_all_pairs(seed):
     assert [forest.find(i) for i in range(len(sets))] == [again.find(i) for i in range(len(sets))]
 
 
+def test_keep_one_goes_by_row(spark):
+    near = [" ".join(f"w{k}" for k in range(60)) + x for x in ("", " more", " other")]
+    rows = [(1, near[0]), (2, near[1]), (2, "a clean text under the same id"), (5, "b c d"), (5, "B  c d"), (None, near[2]), (None, "lone words"), (None, "Lone words"), (7, ""), (7, " "), (None, None)]
+    rows += [(9, "x " + near[0].replace("w", "v")), (9, "y " + near[0].replace("w", "v")), (10, "z " + near[0].replace("w", "v"))]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, row string").repartition(3)
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()]
+    low = sorted(((i, " ".join((t or "").lower().split())) for i, t in got), key=str)
+    nine = [t for i, t in low if i == 9]
+    assert len(nine) == 1 and nine[0][0] in "xy"
+    want = [(1, near[0]), (2, rows[2][1]), (5, "b c d"), (7, ""), (7, ""), (None, ""), (None, "lone words"), (9, nine[0])]
+    assert low == sorted(want, key=str)
+    unique = docs.where("doc_id IN (1, 10)").unionByName(spark.createDataFrame([(11, near[1], "z")], docs.schema))
+    assert sorted(r.doc_id for r in jaccard.keep_one(unique).collect()) == [1, 10]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 7), (7, 5), (9, 9), (None, 3), (200, 7)] + [(300, i) for i in range(301, 340)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
