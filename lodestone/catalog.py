@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from lodestone.sources.parquet import TABLES, read_table
 
@@ -39,9 +39,6 @@ SAMPLE_TABLES = {
     ),
 }
 
-#: Column types a schema may be declared with.
-TYPES = {"int": LongType(), "float": DoubleType(), "text": StringType(), "boolean": BooleanType()}
-
 
 class Catalog:
     """Names to lazily scanned tables. Names resolve as Spark resolves them, without regard to case."""

@@ -1,3 +1,3 @@
-from lodestone.functions.exact import exact_avg, exact_sum, safe_divide
+from lodestone.functions.exact import exact_avg, exact_sum
 
-__all__ = ["exact_avg", "exact_sum", "safe_divide"]
+__all__ = ["exact_avg", "exact_sum"]

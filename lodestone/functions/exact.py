@@ -1,4 +1,4 @@
-"""Aggregates whose results don't depend on the partitioning, and division that yields null on zero."""
+"""Aggregates whose results don't depend on the partitioning."""
 
 from __future__ import annotations
 
@@ -14,7 +14,3 @@ def exact_sum(c: Column, scale: int = 2) -> Column:
 def exact_avg(c: Column, scale: int = 2) -> Column:
     """Mean as an exact sum over the count of non-null values."""
     return exact_sum(c, scale) / F.count(c)
-
-
-def safe_divide(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)

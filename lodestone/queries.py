@@ -23,6 +23,12 @@ SQL = {
     "project_qualified_star": "SELECT n.* FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'ASIA'",
     "project_mixed_star": "SELECT *, n_nationkey AS k FROM nation",
     "literals": "SELECT n_nationkey, 1 AS i, CAST(2.5 AS DOUBLE) AS f, 'x' AS t, TRUE AS b FROM nation",
+    "literals_bare": "SELECT n_nationkey, NULL AS z, CAST(n_nationkey * 0.5 AS DOUBLE) AS h, n_nationkey > 3.14 AS big, n_nationkey + 1.5 < 20.25 AS low FROM nation",
+    "null_column": "SELECT r_regionkey, CAST(NULL AS INT) AS k, NULL IS NULL AS t FROM region WHERE NULL IS NULL",
+    "scalar_functions": "SELECT n_nationkey, UPPER(n_name) AS u, LOWER(SUBSTRING(n_name, 1, 3)) AS l, ABS(n_regionkey - 3) AS a, LENGTH(CONCAT(n_name, 'x')) AS c, COALESCE(NULLIF(n_regionkey, 0), -1) AS z FROM nation",
+    "scalar_function_where": "SELECT c_custkey, ROUND(ABS(c_acctbal), 0) AS r FROM customer WHERE ABS(ROUND(c_acctbal, 0)) > 5000 AND LENGTH(c_mktsegment) = 8",
+    "agg_function_key": "SELECT UPPER(SUBSTRING(c_mktsegment, 1, 1)) AS k, COUNT(*) AS n, MAX(ABS(c_acctbal)) AS m FROM customer GROUP BY UPPER(SUBSTRING(c_mktsegment, 1, 1)) HAVING MAX(LENGTH(c_name)) > 3",
+    "alias_as": "SELECT x.n_name AS a FROM nation AS x JOIN region AS y ON x.n_regionkey = y.r_regionkey WHERE y.r_name = 'ASIA'",
     "bool_project": "SELECT o_orderkey, o_totalprice > 100000 AS big, NOT o_orderstatus = 'F' AS open FROM orders",
     "filter_eq": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'",
     "filter_neq": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderstatus != 'O'",
@@ -38,6 +44,8 @@ SQL = {
     "join_inner": "SELECT o.o_orderkey, c.c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey",
     "join_left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey",
     "join_right": "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey",
+    "join_right_extends": "SELECT n.n_name, r.r_name FROM (SELECT * FROM nation WHERE n_regionkey < 3) n RIGHT JOIN region r ON n.n_regionkey = r.r_regionkey",
+    "join_right_on_residual": "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT OUTER JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000",
     "join_left_on_residual": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000",
     "join_cross": "SELECT n.n_name, r.r_name FROM nation n CROSS JOIN region r",
     "join_cross_on": "SELECT n.n_name, r.r_name FROM nation n CROSS JOIN region r ON n.n_regionkey = r.r_regionkey",
@@ -99,8 +107,15 @@ def join_kinds_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def join_right_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A right join whose left side lacks some keys, from the DataFrame operators: rows of the right side stay, extended by nulls."""
+    Engine.over(spark, sf_dir, ("nation", "region"))
+    n = op.filter_rows(op.scan(spark, "nation", "n"), "n.n_regionkey < 3")
+    return op.project(op.join(n, op.scan(spark, "region", "r"), "n.n_regionkey = r.r_regionkey", "right"), ["n.n_name", "r.r_name"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _sql_query(text) for name, text in SQL.items()} | {"flagship_operators": flagship_operators, "join_kinds_operators": join_kinds_operators}
+    return {name: _sql_query(text) for name, text in SQL.items()} | {"flagship_operators": flagship_operators, "join_kinds_operators": join_kinds_operators, "join_right_operators": join_right_operators}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -108,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
     return ORACLE_SQL | {
         "flagship_operators": ORACLE_SQL["flagship"],
         "join_kinds_operators": " UNION ALL ".join(kinds.format(k, "" if k == "cross" else k.upper()) for k in ("inner", "left", "right", "cross")),
+        "join_right_operators": ORACLE_SQL["join_right_extends"],
     }

@@ -32,6 +32,47 @@ def test_commands_are_refused(engine, text):
         engine.sql(text)
 
 
+@pytest.mark.parametrize("text", [
+    "WITH c AS (SELECT 7 AS a) INSERT INTO tt SELECT a FROM c", "FROM (SELECT 9 AS a) INSERT INTO tt SELECT a INSERT INTO uu SELECT a",
+    "INSERT OVERWRITE TABLE tt SELECT 1", "CREATE TABLE vv AS SELECT 1 AS a", "WITH c AS (SELECT 1 AS a) FROM c INSERT INTO tt SELECT a",
+    "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM tt", "DESCRIBE tt", "CACHE TABLE tt", "MERGE INTO tt USING uu ON tt.a = uu.a WHEN MATCHED THEN DELETE",
+])
+def test_no_write_passes(spark, engine, text):
+    for name in ("tt", "uu"):
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (a INT) USING parquet")
+    try:
+        with pytest.raises(NotAQuery):
+            engine.sql(text)
+        assert spark.table("tt").count() == spark.table("uu").count() == 0 and not spark.catalog.tableExists("vv")
+    finally:
+        for name in ("tt", "uu"):
+            spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize(("text", "rows"), [
+    ("SELECT /*+ BROADCAST(r) */ n_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", 25), ("SELECT n_name FROM nation DISTRIBUTE BY n_regionkey", 25),
+    ("WITH c AS (SELECT 7 AS a UNION ALL SELECT 8) SELECT a FROM c", 2), ("SELECT r_name FROM region r WHERE EXISTS (SELECT 1 FROM nation n WHERE n.n_regionkey = r.r_regionkey)", 5),
+    ("SELECT n_name, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation", 25), ("SELECT * FROM (VALUES (1), (2)) AS t(a) WHERE a IN (SELECT 2)", 1),
+    ("SELECT n_regionkey FROM nation INTERSECT SELECT r_regionkey FROM region", 5), ("SELECT id FROM range(4) SORT BY id", 4), ("SELECT explode(array(1, 2)) AS x", 2),
+])
+def test_queries_of_any_form_pass(engine, text, rows):
+    assert engine.sql(text).count() == rows
+
+
+def test_right_join_differs_from_inner(engine):
+    right, inner = (engine.sql(f"SELECT n.n_name FROM (SELECT * FROM nation WHERE n_regionkey < 3) n {kind} JOIN region r ON n.n_regionkey = r.r_regionkey").collect() for kind in ("RIGHT", "INNER"))
+    assert len(inner) == 15 and len(right) == 17 and sum(r.n_name is None for r in right) == 2
+
+
+def test_exact_aggregates(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import exact_avg, exact_sum
+
+    row = spark.sql("SELECT * FROM VALUES (0.1D), (0.2D), (0.3D), (NULL) AS t(x)").agg(exact_sum(F.col("x")).alias("s"), exact_avg(F.col("x")).alias("a")).first()
+    assert row.s == 0.6 and row.a == pytest.approx(0.2, abs=1e-15)
+
+
 @pytest.mark.parametrize("text", ["", "SELECT a FROM t WHERE (a = 1"])
 def test_bad_syntax(engine, text):
     with pytest.raises(ParseException):
