@@ -1,57 +1,139 @@
 """A small causal self-attention language model over subword ids, in numpy.
 
-One layer: inputs x = embedding + position, masked softmax attention with query, key and value matrices, and class logits
-x U1 + attention U2 + b. An id's probability is that of its class times its share of the class's occurrences, so
-the softmax runs over CLASSES classes: frequent ids have one of their own, the others are gathered by frequency in bands of equal mass.
+Inputs are an id's embedding plus its position's. Masked softmax attention with query, key and value matrices gathers what stands before;
+its output and the input go through a rectified layer, which predicts the next id in two steps: its class, then the id within the class. Both steps are softmaxes
+of the same layer, so each id has weights of its own, and a token costs about as many logits as classes and one class's members.
+
+Embeddings and classes come from all training text: how often each id stands beside, and near, groups of other ids (its profile),
+rotated by SVD and clustered. Each id that occurs has an embedding of its own; it stays fixed while the other weights learn. Ids that never occur
+share the probability that Good and Turing's rule leaves to them, evenly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-WIDTH = 24
+WIDTH = 32
+HIDDEN = 63
 #: Inputs to a window, and how many of a later window's tokens are scored: the others are context.
 WINDOW, STRIDE = 32, 24
-CLASSES = 128
-ROWS = 4096
-_SHARED = 512
-_NAMES = ("E", "P", "Q", "K", "V", "U1", "U2", "b")
+#: Ids that are classes of their own; other classes, at most; members of a class, at most.
+SINGLE, CLUSTERS, MEMBERS = 16, 64, 512
+#: Groups that a profile counts: frequent ids are groups of their own, the others are gathered by hash. Relations: before, after, near.
+TOP, GROUPS = 40, 64
+NEAR = (2, 3, 5, 8, 12)
+_NAMES = ("P", "Q", "K", "V", "M", "m", "U", "T")
+_LEAST = 1e-9
 
 
-class Inventory:
-    """Ids' embedding rows, classes and shares, from their counts in all training text. The last two ids are end and start."""
+class Ranks:
+    """Ids that occur, by falling frequency, and the group of each id in profiles. The id behind all others is the start."""
 
     def __init__(self, counts: np.ndarray):
         n = len(counts)
-        order = np.lexsort((np.arange(n), -counts))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        own = ROWS - _SHARED - 1
-        self.row = np.where(rank < own, rank, own + rank % _SHARED).astype(np.int32)
-        self.row = np.append(self.row, ROWS - 1).astype(np.int32)  # start
-        smooth = counts + 0.5
-        single = CLASSES * 2 // 3
-        rest = smooth[order[single:]]
-        bands = np.minimum((np.cumsum(rest) - rest / 2) / max(rest.sum(), 1e-9) * (CLASSES - single), CLASSES - single - 1).astype(np.int64)
-        of = np.empty(n, np.int64)
-        of[order[:single]] = np.arange(min(single, n))
-        of[order[single:]] = single + bands
-        total = np.bincount(of, smooth, minlength=CLASSES)
-        self.of, self.share = of.astype(np.int32), np.log(smooth / total[of]).astype(np.float32)
         self.start = n
-        with np.errstate(divide="ignore"):
-            self.prior = np.where(total > 0, np.log(total / total.sum()), -30.0).astype(np.float32)
+        counts = counts if counts.sum() else np.ones(n)
+        order = np.lexsort((np.arange(n), -counts))
+        self.ids = order[: np.count_nonzero(counts)]
+        self.counts = counts[self.ids].astype(float)
+        self.rank = np.full(n + 1, -1, np.int64)
+        self.rank[self.ids] = np.arange(len(self.ids))
+        self.group = TOP + (np.arange(n + 1) * 2654435761 % (1 << 32) >> 8) % (GROUPS - TOP)
+        self.group[self.ids[:TOP]] = np.arange(min(TOP, len(self.ids)))
+
+    def profile(self, windows: np.ndarray) -> np.ndarray:
+        """Of windows of ids (-1: none): for each rank, relation and group, how often. Flat."""
+        shape = (len(self.ids), 3, GROUPS)
+        out = np.zeros(shape, np.int64)
+        rank, group = np.where(windows < 0, -1, self.rank[windows]), self.group[windows]
+        for step in (1, *NEAR):
+            earlier, later = slice(None, -step), slice(step, None)
+            held = (windows[:, earlier] >= 0) & (windows[:, later] >= 0)
+            for own, other, relation in ((later, earlier, 0), (earlier, later, 1)):
+                take = held & (rank[:, own] >= 0)
+                flat = rank[:, own][take] * GROUPS + group[:, other][take]
+                out[:, relation if step == 1 else 2] += np.bincount(flat, minlength=shape[0] * GROUPS).reshape(shape[0], GROUPS)
+        return out.reshape(-1)
+
+
+class Inventory(Ranks):
+    """Embeddings, classes and members, from all counts and profiles. The last two ids are end and start."""
+
+    def __init__(self, counts: np.ndarray, profile: np.ndarray | None = None, seed: int = 7):
+        super().__init__(counts)
+        rng, n = np.random.default_rng(seed), len(self.ids)
+        vectors = rng.standard_normal((n, WIDTH)) if profile is None else self._vectors(profile.reshape(n, 3, GROUPS), rng)
+        self.embedding = np.zeros((len(counts) + 1, WIDTH), np.float32)
+        self.embedding[self.ids] = vectors
+        self.embedding[self.start] = self.embedding[self.start - 1]  # a text begins where another ended
+        single = min(SINGLE, n)
+        clusters = max(1, min(CLUSTERS, int(np.sqrt(n - single)))) if n > single else 0
+        of = np.arange(n)
+        of[single:] = single + _clusters(vectors[single:], self.counts[single:], clusters, rng)
+        # A class with too many members is cut by frequency, so that no token costs more than that.
+        order = np.lexsort((np.arange(n), of))
+        place = np.arange(n) - np.searchsorted(of[order], of[order])
+        key = np.empty(n, np.int64)
+        key[order] = of[order] * n + place // MEMBERS
+        self.classes, of = np.unique(key, return_inverse=True)
+        order = np.lexsort((np.arange(n), of))
+        self.sizes = np.bincount(of)
+        self.begin = np.cumsum(np.where(self.sizes > 1, self.sizes, 0)) - np.where(self.sizes > 1, self.sizes, 0)
+        slot = np.empty(n, np.int64)
+        slot[order] = np.arange(n) - np.searchsorted(of[order], of[order])
+        total = np.bincount(of, self.counts)
+        self.prior = np.log(total / total.sum()).astype(np.float32)
+        within = (self.sizes > 1)[of]
+        self.within = np.empty(int(within.sum()), np.float32)
+        self.within[self.begin[of[within]] + slot[within]] = np.log(self.counts / total[of])[within]
+        self.of, self.slot = np.full(len(counts) + 1, -1, np.int64), np.zeros(len(counts) + 1, np.int64)
+        self.of[self.ids], self.slot[self.ids] = of, slot
+        unseen = len(counts) - n
+        share = min(0.5, (np.count_nonzero(self.counts == 1) + 1) / (self.counts.sum() + 2)) if unseen else 0.0
+        self.seen_log, self.unseen_log = np.float32(np.log1p(-share)), np.float32(np.log(max(share, 1e-30) / max(1, unseen)))
+
+    def _vectors(self, profile: np.ndarray, rng) -> np.ndarray:
+        """Square roots of smoothed shares, rotated to their leading directions, each direction of size 1 over all text."""
+        parts = []
+        for k in range(3):
+            own = profile[:, k].astype(float)
+            mean = own.sum(0) / max(own.sum(), 1)
+            parts.append(np.sqrt((own + 5 * mean) / (own.sum(1, keepdims=True) + 5)) - np.sqrt(mean))
+        whole = np.hstack(parts)
+        weighed = whole * np.sqrt(self.counts)[:, None]
+        turn = np.linalg.svd(weighed.T @ weighed)[0][:, :WIDTH]
+        out = whole @ turn
+        size = np.sqrt((self.counts[:, None] * out**2).sum(0) / self.counts.sum())
+        return out / np.where(size > 1e-6, size, 1) + 1e-3 * rng.standard_normal(out.shape)
+
+
+def _clusters(vectors: np.ndarray, counts: np.ndarray, k: int, rng, rounds: int = 15) -> np.ndarray:
+    """k-means, weighed by counts."""
+    if not len(vectors):
+        return np.empty(0, np.int64)
+    centres = vectors[rng.choice(len(vectors), k, replace=False, p=counts / counts.sum())]
+    for turn in range(rounds + 1):
+        of = ((centres**2).sum(1) - 2 * vectors @ centres.T).argmin(1)
+        if turn < rounds:
+            total = np.bincount(of, counts, minlength=k)
+            mean = np.stack([np.bincount(of, counts * v, minlength=k) for v in vectors.T], 1) / np.maximum(total, _LEAST)[:, None]
+            centres = np.where(total[:, None] > 0, mean, centres)
+    return of
 
 
 def initial(inventory: Inventory, seed: int = 7) -> dict[str, np.ndarray]:
+    """Weights under which every prediction is the frequency over all text."""
     rng = np.random.default_rng(seed)
-    shape = {"E": (ROWS, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "U1": (WIDTH, CLASSES), "U2": (WIDTH, CLASSES)}
-    scale = {"E": 0.3, "P": 0.05, "Q": 0.3, "K": 0.3, "V": 0.3, "U1": 0.1, "U2": 0.1}
-    return {k: (rng.standard_normal(s) * scale[k]).astype(np.float32) for k, s in shape.items()} | {"b": inventory.prior.copy()}
+    normal = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
+    p = {"P": normal(0.02, WINDOW, WIDTH), "Q": normal(0.05, WIDTH, WIDTH), "K": normal(0.05, WIDTH, WIDTH), "V": np.eye(WIDTH, dtype=np.float32)}
+    p |= {"M": normal((2 * WIDTH) ** -0.5, 2 * WIDTH, HIDDEN), "m": np.zeros(HIDDEN, np.float32)}
+    p |= {"U": np.zeros((len(inventory.prior), HIDDEN + 1), np.float32), "T": np.zeros((len(inventory.within), HIDDEN + 1), np.float32)}
+    p["U"][:, -1], p["T"][:, -1] = inventory.prior, inventory.within
+    return p
 
 
 def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].reshape(-1) for k in _NAMES]).astype(np.float64)
+    return np.concatenate([p[k].reshape(-1) for k in _NAMES]).astype(np.float32)
 
 
 def unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -62,63 +144,118 @@ def unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.nda
     return out
 
 
-def _attention(p: dict[str, np.ndarray], rows: np.ndarray, last: int) -> tuple[np.ndarray, ...]:
-    """Embedded inputs, masked attention weights and attended values; queries are the last positions only."""
-    w = rows.shape[1]
-    x = p["E"][rows] + p["P"][:w]
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Sums of rows, by a product, which is faster than a reduction of short rows."""
+    return a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)
+
+
+def _forward(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, last: int) -> tuple[np.ndarray, ...]:
+    """Embedded inputs, attention and the layer, for the last positions of each window."""
+    n, w = inputs.shape
+    kind = p["Q"].dtype
+    x = inventory.embedding[inputs] + p["P"][:w]
     flat = x.reshape(-1, WIDTH)
     keys, values = (flat @ p["K"]).reshape(x.shape), (flat @ p["V"]).reshape(x.shape)
-    own = x[:, w - last :]
-    asked = (own.reshape(-1, WIDTH) @ (p["Q"] / np.float32(np.sqrt(WIDTH)))).reshape(own.shape)
-    weight = asked @ keys.transpose(0, 2, 1)
+    own = np.ascontiguousarray(x[:, w - last :])
+    asked = (own.reshape(-1, WIDTH) @ (p["Q"] * kind.type(WIDTH**-0.5))).reshape(own.shape)
+    weight = asked @ np.ascontiguousarray(keys.transpose(0, 2, 1))
     np.clip(weight, -30, 30, out=weight)
     np.exp(weight, out=weight)
-    weight *= np.tri(last, w, w - last, dtype=np.float32)  # a position sees itself and what stands before it
-    weight /= weight.sum(-1, keepdims=True)
-    return x, own, keys, values, asked, weight, weight @ values
+    weight *= np.tri(last, w, w - last, dtype=kind)  # a position sees itself and what stands before it
+    weight *= (1 / _sums(weight)).reshape(n, last, 1)
+    both = np.concatenate([own, weight @ values], 2).reshape(-1, 2 * WIDTH)
+    layer = np.ones((len(both), HIDDEN + 1), kind)
+    np.maximum(both @ p["M"] + p["m"], 0, out=layer[:, :-1])
+    return x, keys, values, asked, weight, both, layer
+
+
+def _by_class(inventory: Inventory, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows sorted by class, and (class, start, end) of each run whose class has several members."""
+    order = np.argsort(classes.astype(np.int16), kind="stable")
+    held, edges = np.unique(classes[order], return_index=True)
+    ends = np.append(edges[1:], len(order))
+    return order, [(c, s, e) for c, s, e in zip(held.tolist(), edges.tolist(), ends.tolist(), strict=True) if c >= 0 and inventory.sizes[c] > 1]
 
 
 def log_probabilities(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, targets: np.ndarray, last: int) -> np.ndarray:
     """Natural logarithms of the probabilities of the last targets of each window."""
-    _, own, *_, seen = _attention(p, inventory.row[inputs], last)
-    known = np.concatenate([own, seen, np.ones((*own.shape[:2], 1), np.float32)], 2).reshape(-1, 2 * WIDTH + 1)
-    logits = known @ np.vstack([p["U1"], p["U2"], p["b"]])  # one product, one pass over the logits
+    layer = _forward(p, inventory, inputs, last)[-1]
     flat = targets[:, -last:].reshape(-1)
-    chosen = logits[np.arange(len(flat)), inventory.of[flat]]
+    classes = inventory.of[flat]
+    logits = layer @ p["U"].T
+    np.clip(logits, -60, 60, out=logits)
+    out = logits[np.arange(len(flat)), classes]
+    np.exp(logits, out=logits)
+    out -= np.log(_sums(logits))
+    out += inventory.seen_log
+    order, runs = _by_class(inventory, classes)
+    sorted_layer, slots = layer[order], inventory.slot[flat[order]]
+    for c, s, e in runs:
+        own = sorted_layer[s:e] @ p["T"][inventory.begin[c] : inventory.begin[c] + inventory.sizes[c]].T
+        np.clip(own, -60, 60, out=own)
+        chosen = own[np.arange(e - s), slots[s:e]]
+        np.exp(own, out=own)
+        out[order[s:e]] += chosen - np.log(_sums(own))
+    out[classes < 0] = inventory.unseen_log
+    return out.reshape(-1, last)
+
+
+def gradients(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over a batch of windows, and its gradients. Targets occur in training text, or are -1: what pads a window's end has no loss."""
+    n, w = inputs.shape
+    inputs = np.where(inputs < 0, inventory.start, inputs)
+    x, keys, values, asked, weight, both, layer = _forward(p, inventory, inputs, w)
+    kind = p["Q"].dtype.type
+    flat = targets.reshape(-1)
+    held = flat >= 0
+    total, rows = int(np.count_nonzero(held)), np.flatnonzero(held)
+    classes = np.where(held, inventory.of[flat], -1)
+    logits = layer @ p["U"].T
+    np.clip(logits, -60, 60, out=logits)
+    chosen = (rows, classes[rows])
+    loss = -float(logits[chosen].sum(dtype=np.float64))
     np.exp(logits, out=logits)
-    return (chosen - np.log(logits.sum(1)) + inventory.share[flat]).reshape(-1, last)
-
-
-def gradients(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over a batch of whole windows, and its gradients."""
-    n, w = rows.shape
-    x, _, keys, values, asked, weight, seen = _attention(p, rows, w)
-    fx, fs = x.reshape(-1, WIDTH), seen.reshape(-1, WIDTH)
-    logits = fx @ p["U1"] + fs @ p["U2"] + p["b"]
-    logits -= logits.max(1, keepdims=True)
-    prob = np.exp(logits)
-    prob /= prob.sum(1, keepdims=True)
-    at = (np.arange(n * w), classes.reshape(-1))
-    loss = -float(np.log(np.maximum(prob[at], 1e-30)).mean())
-    prob[at] -= 1
-    prob /= n * w
-    g = {"U1": fx.T @ prob, "U2": fs.T @ prob, "b": prob.sum(0)}
-    dx = (prob @ p["U1"].T).reshape(x.shape)
-    dseen = (prob @ p["U2"].T).reshape(x.shape)
-    dvalues = weight.transpose(0, 2, 1) @ dseen
-    dweight = dseen @ values.transpose(0, 2, 1)
-    dscore = weight * (dweight - (dweight * weight).sum(-1, keepdims=True))
-    dasked, dkeys = dscore @ keys, dscore.transpose(0, 2, 1) @ asked
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    for name, d in (("Q", dasked * scale), ("K", dkeys), ("V", dvalues)):
-        flat = d.reshape(-1, WIDTH)
-        g[name] = fx.T @ flat
-        dx += (flat @ p[name].T).reshape(x.shape)
+    sums = _sums(logits)
+    loss += float(np.log(sums[rows]).sum(dtype=np.float64))
+    logits *= (held.astype(kind) / (sums * kind(total)))[:, None]
+    logits[chosen] -= kind(1 / total)
+    g = {"U": logits.T @ layer, "T": np.zeros_like(p["T"])}
+    dlayer = logits @ p["U"]
+    order, runs = _by_class(inventory, classes)
+    sorted_layer, slots = layer[order], inventory.slot[flat[order]]
+    dsorted = np.zeros_like(sorted_layer)
+    for c, s, e in runs:
+        span = slice(inventory.begin[c], inventory.begin[c] + inventory.sizes[c])
+        own, at = sorted_layer[s:e] @ p["T"][span].T, (np.arange(e - s), slots[s:e])
+        np.clip(own, -60, 60, out=own)
+        loss -= float(own[at].sum(dtype=np.float64))
+        np.exp(own, out=own)
+        sums = _sums(own)
+        loss += float(np.log(sums).sum(dtype=np.float64))
+        own *= (1 / (sums * kind(total)))[:, None]
+        own[at] -= kind(1 / total)
+        g["T"][span] = own.T @ sorted_layer[s:e]
+        dsorted[s:e] = own @ p["T"][span]
+    dlayer[order] += dsorted
+    dhidden = dlayer[:, :-1] * (layer[:, :-1] > 0)
+    g["M"], g["m"] = both.T @ dhidden, dhidden.sum(0)
+    dboth = dhidden @ p["M"].T
+    dseen = np.ascontiguousarray(dboth[:, WIDTH:]).reshape(x.shape)
+    dx = np.ascontiguousarray(dboth[:, :WIDTH])
+    back = np.ascontiguousarray(weight.transpose(0, 2, 1))
+    dvalues = back @ dseen
+    dscore = dseen @ np.ascontiguousarray(values.transpose(0, 2, 1))
+    dscore -= _sums(dscore * weight).reshape(n, w, 1)
+    dscore *= weight
+    dasked, dkeys = dscore @ keys, np.ascontiguousarray(dscore.transpose(0, 2, 1)) @ asked
+    fx = x.reshape(-1, WIDTH)
+    for name, d, scale in (("Q", dasked, kind(WIDTH**-0.5)), ("K", dkeys, kind(1)), ("V", dvalues, kind(1))):
+        d = d.reshape(-1, WIDTH)
+        g[name] = (fx.T @ d) * scale
+        dx += d @ (p[name].T * scale)
     g["P"] = np.zeros_like(p["P"])
-    g["P"][:w] = dx.sum(0)
-    flat, index = dx.reshape(-1, WIDTH), rows.reshape(-1)
-    g["E"] = np.stack([np.bincount(index, flat[:, k], minlength=len(p["E"])) for k in range(WIDTH)], 1).astype(np.float32)
-    return loss, g
+    g["P"][:w] = dx.reshape(x.shape).sum(0)
+    return loss / total, g
 
 
 class Adam:
@@ -127,11 +264,22 @@ class Adam:
         self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
 
     def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+        """In place; the gradients are used up."""
         self.t += 1
+        rate = np.float32(self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k in p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            m, v, d = self.m[k], self.v[k], g[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * d
+            v *= np.float32(0.99)
+            d *= d
+            d *= np.float32(0.01)
+            v += d
+            np.sqrt(v, out=d)
+            d += np.float32(1e-8)
+            np.divide(m, d, out=d)
+            d *= rate
+            p[k] -= d
 
 
 def score_sequences(p: dict[str, np.ndarray], inventory: Inventory, flat: np.ndarray, ends: np.ndarray, batch: int = 256) -> np.ndarray:

@@ -86,13 +86,16 @@ def map_ids(docs: DataFrame, definition: str, consume: Callable, schema: str, id
 
         return reply
 
-    def read(row: dict, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def prepare(dictionary: dict, found: pa.Table) -> tuple[np.ndarray, ...]:
+        answers = found["answer"].to_pylist()
         heads = [int.from_bytes(a[:8], "little") for a in answers]
         lengths = np.concatenate([np.empty(0, np.int64), *(unpack(a[8 : 8 + h], np.uint32) for a, h in zip(answers, heads, strict=True))]).astype(np.int64)
         flat = np.concatenate([np.empty(0, narrow), *(unpack(a[8 + h :], narrow) for a, h in zip(answers, heads, strict=True))])
-        starts = np.cumsum(lengths) - lengths
-        place, positions = unpack(row["place"], np.uint32), unpack(row["positions"], np.uint32)
-        words = unpack(row["lengths"], np.uint32).astype(np.int64)
+        return lengths, flat, np.cumsum(lengths) - lengths, unpack(dictionary["place"], np.uint32)
+
+    def read(row: dict, made: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        lengths, flat, starts, place = made
+        positions, words = unpack(row["positions"], np.uint32), unpack(row["lengths"], np.uint32).astype(np.int64)
         ids, nulls = unpack(row["ids"], np.int64).tolist(), unpack(row["nulls"], np.uint8).tolist()
         ends = np.cumsum(words)
         start = 0
@@ -104,7 +107,7 @@ def map_ids(docs: DataFrame, definition: str, consume: Callable, schema: str, id
             yield consume([None if z else i for i, z in zip(ids[start:end], nulls[start:end], strict=True)], spread(at, flat, lengths, starts), per_word[ends[start:end] - first])
             start = end
 
-    return blocks.resolve(blocks.answers(solve), read, schema)
+    return blocks.resolve(blocks.answers(solve), prepare, read, schema)
 
 
 def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset (tests on one machine) a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset on one machine (tests) a temporary one is set; on a cluster that is an error,
+    as its executors wouldn't see a folder of the driver."""
     context = spark.sparkContext
     if not (base := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
         base = context.getCheckpointDir()
     return base.rstrip("/")
@@ -50,3 +54,12 @@ def fold(doc_id: Column, parts: int = 5) -> Column:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """Stored bytes of the tables that a DataFrame reads. Where Spark doesn't know a table's size, the bytes of the texts, counted."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) < 1 << 60:
+        return sum(sizes)
+    return df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0

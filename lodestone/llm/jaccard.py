@@ -3,12 +3,15 @@
 1. Documents are written as blocks of word numbers. The distinct n-grams of each block are counted over the whole input, in
    packed form, which gives the global order: rare n-grams first, ties by hash.
 2. Two sets that reach the threshold share one of their first ``n - ceil(t n) + 1`` n-grams in that order. What stands in one
-   document only can't be shared, so only documents whose first n-grams are common send any. Sets that share one, and whose
-   sizes allow the threshold, are tied; the components of these ties are closed under links.
+   document only can't be shared, so only documents whose first n-grams are common send any, and only these. Sets that share one, and
+   whose sizes allow the threshold, are tied; the components of these ties are closed under links.
 3. Each component's sets are joined in a prefix tree (frequent n-grams first, so that near copies share long paths), traversed with
    partial overlaps; a subtree is left when the remaining lengths can't reach the threshold, or when all its sets are in the
-   component already. A component that is too large for a task is cut into parts, and each pair of parts is a task.
-4. The links found (a forest for each task) and equal sets give the components of documents.
+   component already. A set is made again from its block when its component is known, and sent once, straight to its task. A
+   component that is too large for a task is cut by sizes into bands, as sets link within a band or to the next one only, and
+   bands into parts; parts that can link meet in pairs.
+4. The links found (a forest for each task) and equal sets give the components of documents. Sets are named by their smallest id, so
+   the least name of a component is its result, and nothing is joined by component.
 
 Equal sets are one node, so copies aren't expanded; a common n-gram makes a chain of ties, not pairs, and is chained within each batch before it is sent. Hashes of n-grams have 56
 bits and sets are told apart by 128 bits of their content: at a billion sets the chance of one wrong merger is below 1e-20.
@@ -38,9 +41,12 @@ from lodestone.llm.graph import components
 WORDS = 5
 #: Similarity in hundredths: linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: N-grams that one task of the tree join holds, about.
 TASK_GRAMS = 2 << 20
+#: N-grams, and bytes of first n-grams, that one bucket gets, about.
+BUCKET_GRAMS = 8 << 20
+HEAD_BYTES = 32 << 20
 _BITS = 56
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,31 +69,48 @@ def grams(hashes: np.ndarray, n: int = WORDS) -> np.ndarray:
     return np.unique(total >> np.uint64(64 - _BITS))
 
 
+class _Texts:
+    """A block's documents as sets."""
+
+    def __init__(self, row: dict, n: int):
+        self.n, words = n, unpack_words(row["words"])
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+        self.hashes = hashes[unpack(row["place"], np.uint32)] if len(words) else hashes
+        self.positions, self.ends = unpack(row["positions"], np.uint32), np.cumsum(unpack(row["lengths"], np.uint32), dtype=np.int64)
+        self.ids = [None if z else i for i, z in zip(unpack(row["ids"], np.int64).tolist(), unpack(row["nulls"], np.uint8).tolist(), strict=True)]
+
+    def set(self, k: int) -> np.ndarray:
+        return grams(self.hashes[self.positions[self.ends[k - 1] if k else 0 : self.ends[k]]], self.n)
+
+
 def sets_of(row: dict, n: int) -> tuple[list, list[np.ndarray], list[bytes], np.ndarray]:
     """Of a block: document ids, their sets, the sets' digests, and which documents are the first of their set."""
-    words = unpack_words(row["words"])
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    hashes = hashes[unpack(row["place"], np.uint32)] if len(words) else hashes
-    positions, ends = unpack(row["positions"], np.uint32), np.cumsum(unpack(row["lengths"], np.uint32), dtype=np.int64)
-    ids = [None if z else i for i, z in zip(unpack(row["ids"], np.int64).tolist(), unpack(row["nulls"], np.uint8).tolist(), strict=True)]
-    sets, digests, seen, first, start = [], [], set(), np.zeros(len(ids), bool), 0
-    for k, end in enumerate(ends.tolist()):
-        own = grams(hashes[positions[start:end]], n)
+    texts = _Texts(row, n)
+    sets, digests, seen, first = [], [], set(), np.zeros(len(texts.ids), bool)
+    for k in range(len(texts.ids)):
+        own = texts.set(k)
         digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
         first[k] = digest not in seen
         seen.add(digest)
         sets.append(own)
         digests.append(digest)
-        start = end
-    return ids, sets, digests, first
+    return texts.ids, sets, digests, first
 
 
 def _together(sets: list[np.ndarray], first: np.ndarray) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint64), *(s for s, f in zip(sets, first, strict=True) if f)])
 
 
+#: Rarity has a byte: counts up to this one are exact, larger ones go by quarters of a power of two.
+_EXACT = 191
+
+
+def rarity(holders: np.ndarray) -> np.ndarray:
+    return np.where(holders <= _EXACT, holders, np.minimum(255, _EXACT + 1 + 4 * np.log2(np.maximum(holders, 1) / _EXACT)).astype(np.int64)).astype(np.uint8)
+
+
 def _document_frequencies(blocks: Blocks, n: int, buckets: int, bits: int) -> DataFrame:
-    """(block, bucket, answer): for each block's distinct n-grams in order, in how many distinct sets of a block each stands (up to 255).
+    """(group, bucket, answer): for each block's distinct n-grams in order, the rarity of each: in how many distinct sets of a block it stands.
 
     Only the leading bits of a hash are sent, as differences. Two n-grams may so count together; the order stays one function of the hash.
     """
@@ -95,7 +118,8 @@ def _document_frequencies(blocks: Blocks, n: int, buckets: int, bits: int) -> Da
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 _, sets, _, first = sets_of(row, n)
                 key, holders = np.unique(_together(sets, first) >> drop, return_counts=True)
                 edges = np.searchsorted(key, np.arange(buckets, dtype=np.uint64) * share)
@@ -103,53 +127,57 @@ def _document_frequencies(blocks: Blocks, n: int, buckets: int, bits: int) -> Da
                 for b, (start, end) in enumerate(zip(edges, [*edges[1:], len(key)], strict=True)):
                     if end > start:
                         steps = np.diff(key[start:end], prepend=np.uint64(b) * share)
-                        rows.append({"bucket": b, "block": row["block"], "steps": pack(steps.astype(np.uint32 if steps.max() < 1 << 32 else np.uint64)), "counts": pack(np.minimum(holders[start:end], 255).astype(np.uint8))})
+                        rows.append({"bucket": b, "group": row["group"], "steps": pack(steps.astype(np.uint32 if steps.max() < 1 << 32 else np.uint64)), "counts": pack(np.minimum(holders[start:end], 65535).astype(np.uint16))})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("group", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpack(s.as_py(), np.uint32 if s.as_py()[0] == 4 else np.uint64), dtype=np.uint64) for s in table["steps"]]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([unpack(c.as_py(), np.uint8) for c in table["counts"]]), minlength=len(every))
-        found, ends = np.minimum(total, 255).astype(np.uint8)[inverse], np.cumsum([len(k) for k in keys])
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "answer": pa.array([pack(x) for x in np.split(found, ends[:-1])], pa.binary())})
+        total = np.bincount(inverse, np.concatenate([unpack(c.as_py(), np.uint16) for c in table["counts"]]), minlength=len(every))
+        found, ends = rarity(total)[inverse], np.cumsum([len(k) for k in keys])
+        return pa.table({"group": table["group"], "bucket": table["bucket"], "answer": pa.array([pack(x) for x in np.split(found, ends[:-1])], pa.binary())})
+
+    asked = blocks.table.select("group", "words", "place", "ids", "nulls", "lengths", "positions").mapInArrow(requests, "bucket int, group long, steps binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "group long, bucket int, answer binary")
 
-    asked = blocks.table.select("block", "words", "place", "ids", "nulls", "lengths", "positions").mapInArrow(requests, "bucket int, block long, steps binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, answer binary")
 
+def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Blocks:
+    return write_blocks(docs, id_col, text_col, lower=True, block_bytes=block_bytes, share=1)  # a block is a group
 
-def ordered_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, n, digest, head, keys) of every document. keys: the set's n-grams that stand in other sets too, in global order (rarity
-    in the top byte, then hash); null unless some are among the set's first ones, by which it can be found: those are the first ``head`` of them."""
-    blocks = write_blocks(docs, id_col, text_col, lower=True, block_bytes=block_bytes)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = min(_BITS, max(24, size.bit_length() + 7))
-    answers = _document_frequencies(blocks, n, blocks.buckets, bits)
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("head", pa.int32()), ("keys", pa.binary())])
+
+def ordered_sets(blocks: Blocks, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(id, n, digest, group, at, head) of every document, ``at`` its place in its block. head: those of the set's first n-grams in global
+    order (rarity in the top byte, then hash) that stand in other sets too; null where there are none, as no other set can link then."""
+    bits = min(_BITS, max(24, blocks.tokens.bit_length() + 5))
+    buckets = max(partitions(blocks.table), -(-blocks.tokens // BUCKET_GRAMS))
+    answers = _document_frequencies(blocks, n, buckets, bits)
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("group", pa.int64()), ("at", pa.int32()), ("head", pa.binary())])
 
     def read(row: dict, found: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, sets, digests, first = sets_of(row, n)
         every = np.unique(_together(sets, first) >> np.uint64(_BITS - bits))
-        rarity = np.concatenate([np.empty(0, np.uint8), *(unpack(a, np.uint8) for a in found)]).astype(np.uint64) << np.uint64(_BITS)
+        rare = np.concatenate([np.empty(0, np.uint8), *(unpack(a, np.uint8) for a in found)]).astype(np.uint64) << np.uint64(_BITS)
         rows = []
-        for doc_id, own, digest, f in zip(ids, sets, digests, first, strict=True):
-            head, keys = 0, None
+        for k, (doc_id, own, digest, f) in enumerate(zip(ids, sets, digests, first, strict=True)):
+            head = None
             if f and len(own):
-                order = np.sort(own | rarity[np.searchsorted(every, own >> np.uint64(_BITS - bits))])
+                order = own | rare[np.searchsorted(every, own >> np.uint64(_BITS - bits))]
                 most = len(own) - -(-percent * len(own) // 100) + 1
-                alone = int(np.searchsorted(order, np.uint64(2 << _BITS)))
-                if most > alone:
-                    head, keys = most - alone, order[alone:].tobytes()
-            rows.append((doc_id, len(own), digest, head, keys))
-        for start in range(0, len(rows), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[start : start + 1024], strict=True), schema, strict=True)], schema=schema)
+                if np.count_nonzero(order < np.uint64(2 << _BITS)) < most:
+                    order = np.sort(np.partition(order, most - 1)[:most])
+                    head = order[np.searchsorted(order, np.uint64(2 << _BITS)) :].tobytes()
+            rows.append((doc_id, len(own), digest, row["group"], k, head))
+        for start in range(0, len(rows), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[start : start + 4096], strict=True), schema, strict=True)], schema=schema)
 
-    return materialize(blocks.resolve(answers, read, "id long, n long, digest binary, head int, keys binary"), "sets")
+    made = blocks.resolve(answers, lambda _, found: found["answer"].to_pylist(), read, "id long, n long, digest binary, group long, at int, head binary")
+    return materialize(made, "sets")
 
 
 def ties(suspects: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(a, b) digests: sets that share one of their first n-grams, and whose sizes allow a link, or stand between such. suspects: (digest, n, head, keys), one
+    """(a, b) digests: sets that share one of their first n-grams, and whose sizes allow a link, or stand between such. suspects: (digest, n, head), one
     row per set or more.
 
     A batch chains its own holders of an n-gram by size and sends a run of them as one interval of sizes, so what a bucket
@@ -160,7 +188,7 @@ def ties(suspects: DataFrame, percent: int, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = [np.frombuffer(k.as_py(), np.uint64)[: h.as_py()] for k, h in zip(batch["keys"], batch["head"], strict=True)]
+            heads = [np.frombuffer(h.as_py(), np.uint64) for h in batch["head"]]
             if not heads:
                 continue
             keys, owner = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(h) for h in heads])
@@ -324,58 +352,99 @@ def tree_join(sets: list[np.ndarray], percent: int = PERCENT, sizes: list[int] |
     keys, number, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(keys), np.int64)
     rank[np.lexsort((keys, -holders))] = np.arange(len(keys))
-    own = [np.sort(x) for x in np.split(rank[number], np.cumsum([len(s) for s in sets])[:-1])]
+    shared = np.count_nonzero(holders > 1)  # the others, last in rank, can't add to an overlap
+    own = [np.sort(x[x < shared]) for x in np.split(rank[number], np.cumsum([len(s) for s in sets])[:-1])]
     forest, found = Forest(len(sets)), []
-    tree = PrefixTree(percent, len(keys), forest)
+    tree = PrefixTree(percent, shared, forest)
     for i in sorted(range(len(sets)), key=lambda i: sizes[i]):
         tree.link(i, own[i], sizes[i], found)
         tree.insert(i, own[i], sizes[i])
     return found
 
 
-def _joined(sent: DataFrame, groups: DataFrame, percent: int, task_grams: int) -> DataFrame:
-    """(a, b) links within groups. sent: (digest, n, keys), a row per set or more; groups: (node, root). Keys are shuffled twice: to meet
-    their group and to meet each other."""
-    sizes = groups.join(sent.groupBy("digest").agg(F.max(F.octet_length("keys")).alias("size")), groups["node"] == F.col("digest")).groupBy("root").agg(F.sum("size").alias("size"))
-    parts = groups.join(sizes.select("root", F.ceil(F.col("size") / (8 * task_grams)).cast("int").alias("parts")), "root")
-    parts = materialize(parts, "parts")
-    rows = sent.join(parts, sent["digest"] == parts["node"]).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "keys", "root", "parts")))
-    own = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
-    # Part p takes part in the tasks (p, q) for all other parts q: with one part in one task, with m parts in m - 1.
-    tasks = F.when(F.col("parts") < 2, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(
-        F.expr("transform(filter(sequence(0, parts - 1), q -> q <> own), q -> struct(least(own, q) AS p, greatest(own, q) AS q))")
-    )
-    dealt = rows.withColumn("own", own).withColumn("task", F.explode(tasks)).select("root", "task", "digest", "n", "keys")
+def band(n: int, percent: int) -> int:
+    """Sets that link are in one band or in neighbouring ones."""
+    return int(np.log(n) / -np.log(percent / 100) + 1e-9) if percent < 100 else n
+
+
+def meetings(n: int, digest: bytes, bands: dict[int, int] | None, percent: int) -> list[tuple[int, int]]:
+    """The tasks, as pairs of parts, that a set takes part in. bands: the parts of each of its component's bands; None: all in one task."""
+    if bands is None:
+        return [(0, 0)]
+    own = band(n, percent)
+    part = own << 20 | int.from_bytes(digest[:6], "little") % bands[own]
+    others = [b << 20 | k for b in (own - 1, own, own + 1) for k in range(bands.get(b, 0)) if b << 20 | k != part]
+    return [(min(part, x), max(part, x)) for x in others] or [(part, part)]
+
+
+#: A set's name: whether its id is null, the id (so that names sort as ids), the digest.
+_NAME = "concat(IF(id IS NULL, X'01', X'00'), unhex(lpad(hex(coalesce(id, 0) ^ (-9223372036854775807L - 1L)), 16, '0')), digest)"
+_ID_OF = "IF(substring({0}, 1, 1) = X'01', NULL, CAST(CAST(conv(hex(substring({0}, 2, 8)), 16, 10) AS DECIMAL(20, 0)) - CAST('9223372036854775808' AS DECIMAL(20, 0)) AS BIGINT))"
+_DIGEST_OF = "substring({0}, 10, 16)"
+
+
+def _joined(blocks: Blocks, owned: DataFrame, groups: DataFrame, n: int, percent: int, task_grams: int) -> DataFrame:
+    """(a, b) names of sets that link, a forest for each task. owned: (digest, id, group, at, n); groups: (node, root) of what is tied."""
+    named = owned.select("digest", F.col("group"), "at", "n", F.expr(_NAME).alias("name"))
+    tied = materialize(named.join(groups, named["digest"] == groups["node"]).select("group", "at", "n", "name", "root"), "tied")
+    if percent < 100:
+        of = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(percent / 100))) + 1e-9).cast("int")
+    else:
+        of = F.col("n").cast("int")
+    # A component has a band for each third that sizes grow by, at most, so its bands are a short list. Small ones go whole.
+    bands = tied.groupBy("root", of.alias("band")).agg(F.sum("n").alias("size"))
+    parts = F.struct("band", F.ceil(F.col("size") * 2 / task_grams).cast("int").alias("parts"))
+    large = bands.groupBy("root").agg(F.sum("size").alias("size"), F.collect_list(parts).alias("bands")).where(F.col("size") > task_grams).select("root", "bands")
+    tied = tied.join(large, "root", "left")
+    schema = pa.schema([("root", pa.binary()), ("p", pa.int64()), ("q", pa.int64()), ("name", pa.binary()), ("set", pa.binary())])
+
+    def send(row: dict, wanted: list[dict]) -> Iterator[pa.RecordBatch]:
+        if not wanted:
+            return
+        texts, rows = _Texts(row, n), []
+        for x in wanted:
+            own = texts.set(x["at"])
+            packed = pack(np.diff(own, prepend=np.uint64(0)))
+            known = None if x["bands"] is None else {b["band"]: b["parts"] for b in x["bands"]}
+            rows += [(x["root"], p, q, x["name"], packed) for p, q in meetings(len(own), x["name"][9:], known, percent)]
+        for start in range(0, len(rows), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[start : start + 1024], strict=True), schema, strict=True)], schema=schema)
 
     def run(table: pa.Table) -> pa.Table:
-        digests = table["digest"].to_pylist()
-        found = Forest(len(digests))
-        for a, b in tree_join([np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]], percent, table["n"].to_pylist()):
+        names = table["name"].to_pylist()
+        found = Forest(len(names))
+        for a, b in tree_join([np.cumsum(unpack(k.as_py(), np.uint64), dtype=np.uint64) for k in table["set"]], percent):
             found.union(a, b)
-        return _stars(digests, found)
+        return _stars(names, found)
 
-    return dealt.groupBy("root", "task").applyInArrow(run, "a binary, b binary")
+    asked = tied.select("group", F.lit(0).alias("bucket"), "at", "root", "name", "bands")
+    dealt = blocks.resolve(asked, lambda _, found: found.to_pylist(), send, "root binary, p long, q long, name binary, set binary")
+    return dealt.groupBy("root", "p", "q").applyInArrow(run, "a binary, b binary")
 
 
 def _owned(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, block_bytes: int = BLOCK_BYTES, task_grams: int = TASK_GRAMS) -> tuple[DataFrame, DataFrame]:
-    """(id, n, digest, head, keys) of every document, and (digest, id, root) of every set that isn't empty: its smallest id, its component."""
-    sets = ordered_sets(docs, id_col, text_col, n, percent, block_bytes)
-    buckets = max(partitions(docs), 8)
-    sent = sets.where("keys IS NOT NULL").select("digest", "n", "head", "keys")
+    """(id, n, digest, ...) of every document, and (digest, id, root) of every set that isn't empty: its smallest id, and the name of its
+    component's least set, which is null where it has no links."""
+    blocks = _blocks(docs, id_col, text_col, block_bytes)
+    sets = ordered_sets(blocks, n, percent)
+    sent = sets.where("head IS NOT NULL").select("digest", "n", "head")
+    buckets = max(partitions(docs), 8, -(-(sent.agg(F.sum(F.octet_length("head").cast("long"))).first()[0] or 0) // HEAD_BYTES))
     groups = materialize(components(ties(sent, percent, buckets)), "groups")
-    linked = components(_joined(sent.select("digest", "n", "keys"), groups, percent, task_grams))
-    least = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    owned = least.join(linked, least["digest"] == linked["node"], "left").select("digest", "id", F.coalesce("root", "digest").alias("root"))
-    return sets, materialize(owned, "owned")
+    place = F.when(F.col("head").isNotNull(), F.struct("group", "at"))
+    owned = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.min(place).alias("place"), F.first("n").alias("n"))
+    owned = materialize(owned.select("digest", "id", "place.group", "place.at", "n"), "owned")
+    linked = components(_joined(blocks, owned, groups, n, percent, task_grams))
+    linked = linked.select(F.expr(_DIGEST_OF.format("node")).alias("digest"), "root")
+    return sets, materialize(owned.join(linked, "digest", "left").select("digest", "id", "root"), "linked")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, task_grams: int = TASK_GRAMS) -> DataFrame:
     """(id, n_shingles, component_id) of every document; component_id: the smallest id that can be reached by links."""
     sets, owned = _owned(docs, id_col, text_col, n, percent, block_bytes, task_grams)
-    named = materialize(owned.join(owned.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("digest", "component_id"), "named")
-    out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-    full = out.where("digest IS NOT NULL").join(named, "digest").select("id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(out.where("digest IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    named = owned.select("digest", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.expr(_ID_OF.format("root"))).alias("component_id"))
+    out = sets.select("id", F.col("n").alias("n_shingles"), "digest")
+    full = out.where("n_shingles > 0").join(named, "digest").select("id", "n_shingles", "component_id")
+    return full.unionByName(out.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
 
 
 def set_digest(text: bytes, n: int = WORDS) -> bytes | None:
@@ -389,8 +458,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """One row of each component, with all its columns: one with the smallest id (null ids last), and of several sets under that id the one
     with the smallest digest. Rows without n-grams all stay."""
     sets, owned = _owned(docs, id_col, text_col, n, percent)
-    least = owned.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("least"))
-    kept = materialize(least.select(F.col("least.digest").alias("__digest"), F.col("least.id").alias("kept_id")), "kept")
+    least = owned.where(F.col("root").isNull() | (F.expr(_DIGEST_OF.format("root")) == F.col("digest")))
+    kept = materialize(least.select(F.col("digest").alias("__digest"), F.col("id").alias("kept_id")), "kept")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
     members = sets.where("n > 0 AND id IS NOT NULL").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).join(kept, "__digest", "left")
     dropped = members.where("kept_id IS NULL OR kept_id <> __id").select("__id").distinct()

@@ -1,11 +1,13 @@
-"""Language-model scores of whole documents: a causal self-attention model over subword ids, mixed word by word with word frequencies.
+"""Language-model scores of whole documents: a causal self-attention model over subword ids.
 
-All counts (words, subwords, documents) are exact over all training documents, from the table of distinct words. The attention
-model learns from every token of every training document: windows tile the documents, so each token is a target once a pass. Partitions train
-from common weights, their weights are averaged in a tree, and so on for ROUNDS rounds of one pass (more where a partition has few windows, to make MIN_STEPS steps). Scoring goes over overlapping windows, each token once (see attention).
+All counts (words, subwords, documents) are exact over all training documents, from the table of distinct words. Windows tile the training
+documents, so each token is a target once; from them come the subwords' profiles (see attention), by partition sums, and then the
+weights: in each of ROUNDS rounds partitions train from common weights on the next share of their windows, in one pass, and their weights are
+averaged in a tree. Only a partition with fewer than MIN_STEPS steps to make goes over its share again. Scoring goes over overlapping windows,
+each token once.
 
-A word's probability is MIX of the attention model's (the product over its subwords, with what stands before as context) and 1 - MIX
-of its smoothed frequency; the end of the text is a token of both. A word that has no subwords counts by its frequency.
+A document's score is the sum over its tokens, the end of the text included, of the model's log probability; a word's is the product over its
+subwords, with what stands before as context. A word that has no subwords counts by its smoothed frequency.
 
 Defined results: a null text counts as the empty text, which is the end token alone; texts of any length are whole; repeated rows
 are scored, and counted, row by row; a null id counts as the empty text when folds are drawn; without training documents the
@@ -27,17 +29,17 @@ from lodestone.llm import attention
 from lodestone.llm.blocks import Blocks, pack, unpack, write_blocks
 from lodestone.llm.bpe import load, spread, word_ids
 from lodestone.llm.common import fold, materialize
-from lodestone.llm.sums import partition_sums, tree_sum
+from lodestone.llm.sums import dense, partition_sums, sparse, tree_sum
 
-MIX = 0.5
 ROUNDS = 4
-BATCH = 32
-#: Windows that one partition trains on in a round.
-PART_WINDOWS = 32768
+#: Windows to a step.
+BATCH = 128
+#: Windows that one partition trains on in a round, about, and holds at once at most.
+PART_WINDOWS = 65536
 #: Windows that travel in one row.
-RUN_WINDOWS = 256
+RUN_WINDOWS = 1024
 MIN_STEPS = 200
-RATE = 0.01
+RATE = 0.005
 CHUNK_WORDS = 1 << 17
 
 
@@ -79,14 +81,21 @@ def _sums(answers: DataFrame, size: int) -> np.ndarray:
 
 
 class _Words:
-    """A block's words with what the word table says of them, and its documents by chunks."""
+    """What the word table says of a group's words."""
 
-    def __init__(self, row: dict, answers: list[bytes]):
-        parts = [_parts(a) for a in answers]
+    def __init__(self, dictionary: dict, found: pa.Table):
+        parts = [_parts(a.as_py()) for a in found["answer"]]
         joined = lambda k, dtype: np.concatenate([np.empty(0, dtype), *(unpack(p[k], dtype) for p in parts)])
         self.counts, self.lengths, self.flat = joined(1, np.int64), joined(2, np.uint32).astype(np.int64), joined(3, np.uint32).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.place, self.positions = unpack(row["place"], np.uint32), unpack(row["positions"], np.uint32)
+        self.place = unpack(dictionary["place"], np.uint32)
+
+
+class _Texts:
+    """A block's documents, by chunks."""
+
+    def __init__(self, row: dict, words: _Words):
+        self.table, self.positions = words, unpack(row["positions"], np.uint32)
         self.words = unpack(row["lengths"], np.uint32).astype(np.int64)
         self.marks = unpack(row["marks"], np.uint8)
         self.ids = [None if z else i for i, z in zip(unpack(row["ids"], np.int64).tolist(), unpack(row["nulls"], np.uint8).tolist(), strict=True)]
@@ -97,10 +106,10 @@ class _Words:
         while start < len(self.words):
             first = ends[start] - self.words[start]
             stop = max(start + 1, int(np.searchsorted(ends, first + CHUNK_WORDS, "right")))
-            at = self.place[self.positions[first : ends[stop - 1]]]
+            at = self.table.place[self.positions[first : ends[stop - 1]]]
             word_ends = ends[start:stop] - first
-            upto = np.concatenate([[0], np.cumsum(self.lengths[at])])[word_ends]
-            ids = np.insert(spread(at, self.flat, self.lengths, self.starts), upto, end_id)
+            upto = np.concatenate([[0], np.cumsum(self.table.lengths[at])])[word_ends]
+            ids = np.insert(spread(at, self.table.flat, self.table.lengths, self.table.starts), upto, end_id)
             yield slice(start, stop), at, word_ends, ids, upto + np.arange(1, stop - start + 1)
             start = stop
 
@@ -119,47 +128,77 @@ def tiles(ids: np.ndarray, ends: np.ndarray, take: np.ndarray, start_id: int) ->
 
 
 def _windows(blocks: Blocks, answers: DataFrame, end_id: int, start_id: int, tokens: int, texts: int) -> DataFrame:
-    """(ids) of all training windows (see tiles), packed RUN_WINDOWS to a row. tokens, texts: of training text, for the number of partitions."""
+    """(turn, ids) of all training windows (see tiles), packed RUN_WINDOWS to a row. tokens, texts: of training text, for the number of partitions."""
+    schema = pa.schema([("turn", pa.int32()), ("ids", pa.binary())])
 
-    def read(row: dict, found: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def read(row: dict, words: _Words) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(row["block"] & 0xFFFFFFFF)
-        words = _Words(row, found)
-        for docs, _, _, ids, ends in words.chunks(end_id):
-            got = tiles(ids, ends, words.marks[docs] > 0, start_id)
+        texts, turn = _Texts(row, words), int(rng.integers(ROUNDS))
+        for docs, _, _, ids, ends in texts.chunks(end_id):
+            got = tiles(ids, ends, texts.marks[docs] > 0, start_id)
             got = got[rng.permutation(len(got))]
-            yield pa.RecordBatch.from_arrays([pa.array([pack(got[s : s + RUN_WINDOWS].reshape(-1)) for s in range(0, len(got), RUN_WINDOWS)], pa.binary())], names=["ids"])
-        yield pa.RecordBatch.from_arrays([pa.array([], pa.binary())], names=["ids"])
+            runs = [got[s : s + RUN_WINDOWS] for s in range(0, len(got), RUN_WINDOWS)]
+            runs = [part for run in runs for part in (np.array_split(run, ROUNDS) if len(runs) < ROUNDS else [run]) if len(part)]
+            yield pa.RecordBatch.from_arrays([pa.array([(turn + k) % ROUNDS for k in range(len(runs))], pa.int32()), pa.array([pack(x.reshape(-1)) for x in runs], pa.binary())], schema=schema)
+            turn += len(runs)
 
     about = tokens // attention.WINDOW + texts
-    return materialize(blocks.resolve(answers, read, "ids binary").repartition(max(1, -(-about // PART_WINDOWS))), "windows")
+    return materialize(blocks.resolve(answers, _Words, read, "turn int, ids binary").repartition(max(1, -(-about // (PART_WINDOWS * ROUNDS)))), "windows")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Windows of a partition, about PART_WINDOWS at a time."""
+    held, n = [], 0
+    for x in (x for batch in batches for x in batch["ids"]):
+        held.append(unpack(x.as_py(), np.int32).reshape(-1, attention.WINDOW + 1))
+        n += len(held[-1])
+        if n >= PART_WINDOWS:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def inventory_of(windows: DataFrame, counts: np.ndarray) -> attention.Inventory:
+    """Embeddings and classes from the counts of all ids and their profiles over all windows."""
+    ranks = attention.Ranks(counts)
+    width = len(ranks.ids) * 3 * attention.GROUPS
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        return sum((ranks.profile(x) for x in _unpacked(iter([batch]))), np.zeros(width, np.int64))
+
+    return attention.Inventory(counts, partition_sums(windows.select("ids"), width, of, sparse, dense))
 
 
 def train(windows: DataFrame, inventory: attention.Inventory, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Rounds of training in each partition and averaging, weighted by the windows of each."""
+    """Rounds of training in each partition, each on its own share of the windows, and averaging, weighted by the windows of each."""
     weights = attention.initial(inventory)
     width = len(attention.flatten(weights))
+    single = lambda x: np.frombuffer(x, np.float32)
+    encode = lambda x: x.astype(np.float32).tobytes()
 
     def learn(batches: Iterator[pa.RecordBatch], begin: dict[str, np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
         p = {k: v.copy() for k, v in begin.items()}
-        adam, rng = attention.Adam(p, RATE / (1 + turn)), np.random.default_rng(turn)
-        held = [unpack(x.as_py(), np.int32) for batch in batches for x in batch["ids"]]  # about PART_WINDOWS
-        ids = np.concatenate([np.empty(0, np.int32), *held]).reshape(-1, attention.WINDOW + 1)
-        seen = len(ids)
-        filled = (ids >= 0).sum(1)
-        while seen:  # whole passes, at least MIN_STEPS steps
-            order = rng.permutation(seen)
-            groups = [order[filled[order] == n] for n in np.unique(filled)]  # windows of one length go together
-            for group in (g[s : s + BATCH] for g in groups for s in range(0, len(g), BATCH)):
-                own = ids[group][:, : filled[group[0]]]
-                _, g = attention.gradients(p, inventory.row[own[:, :-1]], inventory.of[own[:, 1:]])
+        adam, rng, seen, chunks = attention.Adam(p, RATE / (1 + turn)), np.random.default_rng(turn), 0, 0
+
+        def go_over(ids: np.ndarray) -> None:
+            order = rng.permutation(len(ids))
+            for s in range(0, len(ids), BATCH):
+                own = ids[order[s : s + BATCH]]
+                _, g = attention.gradients(p, inventory, own[:, :-1], own[:, 1:])
                 adam.step(p, g)
-            if adam.t >= MIN_STEPS:
-                break
-        if seen:
-            yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "sums": [np.append(attention.flatten(p) * seen, seen).tobytes()]}, schema=pa.schema([("at", pa.int64()), ("sums", pa.binary())]))
+
+        for ids in _unpacked(batches):
+            seen, chunks = seen + len(ids), chunks + 1
+            go_over(ids)
+        while chunks == 1 and adam.t < MIN_STEPS:
+            go_over(ids)
+        if seen:  # averages are sums of weights over the windows, in thousands, so that floats hold them
+            yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "sums": [encode(np.append(attention.flatten(p).astype(float) * seen, seen) / 1e3)]}, schema=pa.schema([("at", pa.int64()), ("sums", pa.binary())]))
 
     for turn in range(rounds):
-        total = tree_sum(windows.mapInArrow(lambda it, w=weights, t=turn: learn(it, w, t), "at long, sums binary"), width + 1)
+        share = windows.where(F.col("turn") == turn).select("ids")
+        total = tree_sum(share.mapInArrow(lambda it, w=weights, t=turn: learn(it, w, t), "at long, sums binary"), width + 1, encode, single)
         if total[-1]:
             weights = attention.unflatten(total[:-1] / total[-1], weights)
     return weights
@@ -174,16 +213,18 @@ def score(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: st
     sums = _sums(answers, size)
     texts = docs.where(~held_out).count()
     distinct, total = int(sums[0]) + (texts > 0), int(sums[1]) + texts
-    inventory = attention.Inventory(np.append(sums[2:], texts))  # the end has the id behind the vocabulary
-    weights = train(_windows(blocks, answers, size, inventory.start, int(sums[2:].sum()) + texts, texts), inventory)
+    counts = np.append(sums[2:], texts)  # the end has the id behind the vocabulary, the start the next one
+    windows = _windows(blocks, answers, size, size + 1, int(sums[2:].sum()) + texts, texts)
+    inventory = inventory_of(windows, counts)
+    weights = train(windows, inventory)
     divisor = math.log10(total + 0.5 * (distinct + 1))
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     end_base = math.log10(texts + 0.5) - divisor
 
-    def read(row: dict, found: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words = _Words(row, found)
+    def read(row: dict, words: _Words) -> Iterator[pa.RecordBatch]:
+        texts_of = _Texts(row, words)
         base_of = np.log10(words.counts + 0.5) - divisor
-        for docs, at, word_ends, ids, ends in words.chunks(size):
+        for docs, at, word_ends, ids, ends in texts_of.chunks(size):
             of = attention.score_sequences(weights, inventory, ids, ends).astype(np.float64) / math.log(10)
             # Tokens by word: a document's words, then its end.
             n = np.insert(words.lengths[at], word_ends, 1)
@@ -192,10 +233,10 @@ def score(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: st
             stop = np.cumsum(n)
             upto = np.concatenate([[0.0], np.cumsum(of)])
             by_word = upto[stop] - upto[stop - n]
-            mixed = np.where(n > 0, np.logaddexp(by_word * math.log(10) + math.log(MIX), base * math.log(10) + math.log(1 - MIX)) / math.log(10), base)
+            scored = np.where(n > 0, by_word, base)
             doc_ends = word_ends + np.arange(1, len(word_ends) + 1)
             doc_starts = np.concatenate([[0], doc_ends[:-1]])
-            rows = [words.ids[docs], words.marks[docs] == 0, doc_ends - doc_starts, np.add.reduceat(known, doc_starts), np.full(len(doc_ends), total), np.add.reduceat(base, doc_starts), np.add.reduceat(mixed, doc_starts)]
+            rows = [texts_of.ids[docs], texts_of.marks[docs] == 0, doc_ends - doc_starts, np.add.reduceat(known, doc_starts), np.full(len(doc_ends), total), np.add.reduceat(base, doc_starts), np.add.reduceat(scored, doc_starts)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return blocks.resolve(answers, read, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.resolve(answers, _Words, read, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
