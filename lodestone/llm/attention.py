@@ -1,6 +1,6 @@
 """A small causal self-attention language model over subword ids, in numpy.
 
-Inputs are an id's embedding plus its position's. Masked softmax attention with query, key and value matrices gathers what stands before;
+Inputs are an id's embedding plus waves that tell its position. Masked softmax attention with query, key and value matrices gathers what stands before;
 its output and the input go through a rectified layer, which predicts the next id in two steps: its class, then the id within the class. Both steps are softmaxes
 of the same layer, so each id has weights of its own, and a token costs about as many logits as classes and one class's members.
 
@@ -16,16 +16,22 @@ import numpy as np
 WIDTH = 32
 HIDDEN = 63
 #: Inputs to a window, and how many of a later window's tokens are scored: the others are context.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 28
 #: Ids that are classes of their own; other classes, at most; members of a class, at most.
 SINGLE, CLUSTERS, MEMBERS = 16, 64, 512
 #: Groups that a profile counts: frequent ids are groups of their own, the others are gathered by hash. Relations: before, after, near.
 TOP, GROUPS = 40, 64
 NEAR = (2, 3, 5, 8, 12)
-_NAMES = ("P", "Q", "K", "V", "M", "m", "U", "T")
+_NAMES = ("Q", "K", "V", "M", "m", "U", "T")
 _LEAST = 1e-9
 
 
+def _waves() -> np.ndarray:
+    """A vector for each position: sines and cosines of rising wave length."""
+    angle = np.arange(WINDOW)[:, None] / 64 ** (np.arange(WIDTH // 2) / (WIDTH // 2))
+    return (0.3 * np.concatenate([np.sin(angle), np.cos(angle)], 1)).astype(np.float32)
+
+
 class Ranks:
     """Ids that occur, by falling frequency, and the group of each id in profiles. The id behind all others is the start."""
 
@@ -121,11 +127,14 @@ def _clusters(vectors: np.ndarray, counts: np.ndarray, k: int, rng, rounds: int
     return of
 
 
+_POSITIONS = _waves()
+
+
 def initial(inventory: Inventory, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights under which every prediction is the frequency over all text."""
     rng = np.random.default_rng(seed)
     normal = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
-    p = {"P": normal(0.02, WINDOW, WIDTH), "Q": normal(0.05, WIDTH, WIDTH), "K": normal(0.05, WIDTH, WIDTH), "V": np.eye(WIDTH, dtype=np.float32)}
+    p = {"Q": normal(0.05, WIDTH, WIDTH), "K": normal(0.05, WIDTH, WIDTH), "V": np.eye(WIDTH, dtype=np.float32)}
     p |= {"M": normal((2 * WIDTH) ** -0.5, 2 * WIDTH, HIDDEN), "m": np.zeros(HIDDEN, np.float32)}
     p |= {"U": np.zeros((len(inventory.prior), HIDDEN + 1), np.float32), "T": np.zeros((len(inventory.within), HIDDEN + 1), np.float32)}
     p["U"][:, -1], p["T"][:, -1] = inventory.prior, inventory.within
@@ -149,11 +158,11 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)
 
 
-def _forward(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, last: int) -> tuple[np.ndarray, ...]:
-    """Embedded inputs, attention and the layer, for the last positions of each window."""
+def _attend(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, last: int) -> tuple[np.ndarray, ...]:
+    """Embedded inputs, and for the last positions of each window what attention weighs and sees."""
     n, w = inputs.shape
     kind = p["Q"].dtype
-    x = inventory.embedding[inputs] + p["P"][:w]
+    x = inventory.embedding[inputs] + _POSITIONS[:w].astype(kind, copy=False)
     flat = x.reshape(-1, WIDTH)
     keys, values = (flat @ p["K"]).reshape(x.shape), (flat @ p["V"]).reshape(x.shape)
     own = np.ascontiguousarray(x[:, w - last :])
@@ -163,70 +172,72 @@ def _forward(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray,
     np.exp(weight, out=weight)
     weight *= np.tri(last, w, w - last, dtype=kind)  # a position sees itself and what stands before it
     weight *= (1 / _sums(weight)).reshape(n, last, 1)
-    both = np.concatenate([own, weight @ values], 2).reshape(-1, 2 * WIDTH)
-    layer = np.ones((len(both), HIDDEN + 1), kind)
-    np.maximum(both @ p["M"] + p["m"], 0, out=layer[:, :-1])
-    return x, keys, values, asked, weight, both, layer
+    return x, keys, values, asked, weight, np.concatenate([own, weight @ values], 2).reshape(-1, 2 * WIDTH)
+
+
+def _layer(p: dict[str, np.ndarray], both: np.ndarray) -> np.ndarray:
+    """The rectified layer, and a one in its last column."""
+    whole, bias = np.zeros((2 * WIDTH, HIDDEN + 1), both.dtype), np.ones(HIDDEN + 1, both.dtype)
+    whole[:, :-1], bias[:-1] = p["M"], p["m"]
+    out = both @ whole
+    out += bias
+    return np.maximum(out, 0, out=out)
 
 
 def _by_class(inventory: Inventory, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Rows sorted by class, and (class, start, end) of each run whose class has several members."""
+    """Rows that have a class, sorted by it, and (class, start, end) of each run whose class has several members."""
     order = np.argsort(classes.astype(np.int16), kind="stable")
+    order = order[np.count_nonzero(classes < 0) :]
     held, edges = np.unique(classes[order], return_index=True)
-    ends = np.append(edges[1:], len(order))
-    return order, [(c, s, e) for c, s, e in zip(held.tolist(), edges.tolist(), ends.tolist(), strict=True) if c >= 0 and inventory.sizes[c] > 1]
+    ends = np.append(edges[1:], len(order))[: len(held)]
+    return order, [(c, s, e) for c, s, e in zip(held.tolist(), edges.tolist(), ends.tolist(), strict=True) if inventory.sizes[c] > 1]
 
 
 def log_probabilities(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, targets: np.ndarray, last: int) -> np.ndarray:
     """Natural logarithms of the probabilities of the last targets of each window."""
-    layer = _forward(p, inventory, inputs, last)[-1]
     flat = targets[:, -last:].reshape(-1)
-    classes = inventory.of[flat]
+    order, runs = _by_class(inventory, inventory.of[flat])
+    layer = _layer(p, _attend(p, inventory, inputs, last)[-1][order])
+    classes, slots = inventory.of[flat[order]], inventory.slot[flat[order]]
     logits = layer @ p["U"].T
     np.clip(logits, -60, 60, out=logits)
-    out = logits[np.arange(len(flat)), classes]
+    found = logits[np.arange(len(order)), classes]
     np.exp(logits, out=logits)
-    out -= np.log(_sums(logits))
-    out += inventory.seen_log
-    order, runs = _by_class(inventory, classes)
-    sorted_layer, slots = layer[order], inventory.slot[flat[order]]
+    sums = _sums(logits)
     for c, s, e in runs:
-        own = sorted_layer[s:e] @ p["T"][inventory.begin[c] : inventory.begin[c] + inventory.sizes[c]].T
+        own = layer[s:e] @ p["T"][inventory.begin[c] : inventory.begin[c] + inventory.sizes[c]].T
         np.clip(own, -60, 60, out=own)
-        chosen = own[np.arange(e - s), slots[s:e]]
+        found[s:e] += own[np.arange(e - s), slots[s:e]]
         np.exp(own, out=own)
-        out[order[s:e]] += chosen - np.log(_sums(own))
-    out[classes < 0] = inventory.unseen_log
+        sums[s:e] *= _sums(own)
+    out = np.full(len(flat), inventory.unseen_log, found.dtype)
+    out[order] = found - np.log(sums) + inventory.seen_log
     return out.reshape(-1, last)
 
 
 def gradients(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over a batch of windows, and its gradients. Targets occur in training text, or are -1: what pads a window's end has no loss."""
     n, w = inputs.shape
-    inputs = np.where(inputs < 0, inventory.start, inputs)
-    x, keys, values, asked, weight, both, layer = _forward(p, inventory, inputs, w)
-    kind = p["Q"].dtype.type
     flat = targets.reshape(-1)
-    held = flat >= 0
-    total, rows = int(np.count_nonzero(held)), np.flatnonzero(held)
-    classes = np.where(held, inventory.of[flat], -1)
+    order, runs = _by_class(inventory, np.where(flat < 0, -1, inventory.of[flat]))
+    x, keys, values, asked, weight, whole = _attend(p, inventory, np.where(inputs < 0, inventory.start, inputs), w)
+    kind, total = p["Q"].dtype.type, len(order)
+    both = whole[order]
+    layer = _layer(p, both)
+    classes, slots, rows = inventory.of[flat[order]], inventory.slot[flat[order]], np.arange(total)
     logits = layer @ p["U"].T
     np.clip(logits, -60, 60, out=logits)
-    chosen = (rows, classes[rows])
-    loss = -float(logits[chosen].sum(dtype=np.float64))
+    loss = -float(logits[rows, classes].sum(dtype=np.float64))
     np.exp(logits, out=logits)
     sums = _sums(logits)
-    loss += float(np.log(sums[rows]).sum(dtype=np.float64))
-    logits *= (held.astype(kind) / (sums * kind(total)))[:, None]
-    logits[chosen] -= kind(1 / total)
+    loss += float(np.log(sums).sum(dtype=np.float64))
+    logits *= (1 / (sums * kind(total)))[:, None]
+    logits[rows, classes] -= kind(1 / total)
     g = {"U": logits.T @ layer, "T": np.zeros_like(p["T"])}
     dlayer = logits @ p["U"]
-    order, runs = _by_class(inventory, classes)
-    sorted_layer, slots = layer[order], inventory.slot[flat[order]]
-    dsorted = np.zeros_like(sorted_layer)
     for c, s, e in runs:
         span = slice(inventory.begin[c], inventory.begin[c] + inventory.sizes[c])
-        own, at = sorted_layer[s:e] @ p["T"][span].T, (np.arange(e - s), slots[s:e])
+        own, at = layer[s:e] @ p["T"][span].T, (rows[: e - s], slots[s:e])
         np.clip(own, -60, 60, out=own)
         loss -= float(own[at].sum(dtype=np.float64))
         np.exp(own, out=own)
@@ -234,27 +245,24 @@ def gradients(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray
         loss += float(np.log(sums).sum(dtype=np.float64))
         own *= (1 / (sums * kind(total)))[:, None]
         own[at] -= kind(1 / total)
-        g["T"][span] = own.T @ sorted_layer[s:e]
-        dsorted[s:e] = own @ p["T"][span]
-    dlayer[order] += dsorted
-    dhidden = dlayer[:, :-1] * (layer[:, :-1] > 0)
-    g["M"], g["m"] = both.T @ dhidden, dhidden.sum(0)
-    dboth = dhidden @ p["M"].T
-    dseen = np.ascontiguousarray(dboth[:, WIDTH:]).reshape(x.shape)
-    dx = np.ascontiguousarray(dboth[:, :WIDTH])
-    back = np.ascontiguousarray(weight.transpose(0, 2, 1))
-    dvalues = back @ dseen
+        g["T"][span] = own.T @ layer[s:e]
+        dlayer[s:e] += own @ p["T"][span]
+    dlayer *= layer > 0
+    gathered = both.T @ dlayer
+    g["M"], g["m"] = np.ascontiguousarray(gathered[:, :-1]), dlayer.sum(0)[:-1]
+    # What attention saw: its gradient goes back to the windows. Embeddings and positions stay as they are.
+    dseen = np.zeros((n * w, WIDTH), whole.dtype)
+    dseen[order] = dlayer[:, :-1] @ p["M"][WIDTH:].T
+    dseen = dseen.reshape(x.shape)
+    dvalues = np.ascontiguousarray(weight.transpose(0, 2, 1)) @ dseen
     dscore = dseen @ np.ascontiguousarray(values.transpose(0, 2, 1))
     dscore -= _sums(dscore * weight).reshape(n, w, 1)
     dscore *= weight
     dasked, dkeys = dscore @ keys, np.ascontiguousarray(dscore.transpose(0, 2, 1)) @ asked
-    fx = x.reshape(-1, WIDTH)
-    for name, d, scale in (("Q", dasked, kind(WIDTH**-0.5)), ("K", dkeys, kind(1)), ("V", dvalues, kind(1))):
-        d = d.reshape(-1, WIDTH)
-        g[name] = (fx.T @ d) * scale
-        dx += d @ (p[name].T * scale)
-    g["P"] = np.zeros_like(p["P"])
-    g["P"][:w] = dx.reshape(x.shape).sum(0)
+    fx = x.reshape(-1, WIDTH).T
+    three = fx @ np.concatenate([dasked, dkeys, dvalues], 2).reshape(-1, 3 * WIDTH)
+    g["Q"], g["K"], g["V"] = (np.ascontiguousarray(d) for d in np.split(three, 3, 1))
+    g["Q"] *= kind(WIDTH**-0.5)
     return loss / total, g
 
 

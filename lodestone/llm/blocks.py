@@ -34,9 +34,9 @@ from lodestone.llm.common import input_bytes, partitions, shared_dir
 
 BLOCK_BYTES = 16 << 20
 BLOCK_WORDS = 4 << 20
-#: Blocks, and distinct words, to a group at most (the last block may bring more words).
+#: Blocks, and distinct words, to a group at most (the last document may bring more words).
 SHARE = 8
-DICTIONARY = 1 << 20
+DICTIONARY = 1 << 19
 #: Packed bytes that a bucket of the word table gets, about.
 BUCKET_BYTES = 32 << 20
 #: Text bytes, as stored, to a bucket of the table of blocks.
@@ -122,6 +122,7 @@ class _Builder:
         self.clear()
         if last:
             words = list(self.number)
+            self.number = {}
             order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
             order = order[np.argsort(word_hashes(words)[order], kind="stable")] if len(words) else order
             place = np.empty(len(words), np.uint32)
@@ -235,7 +236,7 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for doc_id, mark, text in zip(batch["id"], batch["mark"], batch["text"], strict=True):
                 data = text.as_py()
                 builder.add(doc_id.as_py(), mark.as_py(), data.lower() if lower else data)
-                if builder.size >= block_bytes or builder.n >= BLOCK_WORDS:
+                if builder.size >= block_bytes or builder.n >= BLOCK_WORDS or len(builder.number) >= DICTIONARY:
                     last = builder.blocks + 1 >= share or len(builder.number) >= DICTIONARY
                     yield pa.RecordBatch.from_pylist([builder.row(last)], schema=_ARROW)
                     if last:

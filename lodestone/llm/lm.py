@@ -39,7 +39,7 @@ PART_WINDOWS = 65536
 #: Windows that travel in one row.
 RUN_WINDOWS = 1024
 MIN_STEPS = 200
-RATE = 0.005
+RATE = 0.006
 CHUNK_WORDS = 1 << 17
 
 
