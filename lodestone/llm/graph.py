@@ -19,7 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step. edges: (u, v) with u > v. large: over all neighbours, the larger ones move; small: over the smaller ones."""
     both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v") if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    # Written, so that the join has an exchange of its own on either side, and a hub's edges can be split.
+    least = materialize(least.select("u", F.least("u", "m").alias("m")), "least")
     moved = both.join(least, "u")
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
