@@ -1,10 +1,14 @@
 """Exact search of the largest inner products, by vectors sorted by length and partial sums in a rotated basis.
 
-Vectors are written in blocks by descending length. An orthogonal rotation (from the second moments of all vectors) puts most of their
-weight into the leading coordinates. A query first meets the block of the longest vectors, which gives it a threshold; with it, blocks
+Vectors are written in blocks by descending length, packed in the least width that holds them. An orthogonal rotation (from the second moments
+of all vectors) puts most of their weight into the leading coordinates. A query first meets the block of the longest vectors, which gives it a threshold; with it, blocks
 are left out whose length times the query's can't reach it, then single vectors whose partial sum plus the product of the
 residual lengths can't (Cauchy-Schwarz). What is left is scored exactly in integers. Thresholds only rise, and only what is strictly below is
-left out, so ties are kept. Queries meet vectors block by block, in tasks of bounded size.
+left out, so ties are kept.
+
+Traffic: vectors are shuffled once, to be sorted. Then queries go to the vectors: they are sorted by the length that a partner needs, and for each batch
+of QUERY_BYTES of them, sent to all tasks, the blocks are read in place, as far down as the batch needs. A task returns the best k for each of its queries
+at most. So what is sent grows with the queries and k, what is read with the vectors and the number of batches.
 
 Defined results: a vector that is null, or holds a null or non-finite component, or has a null id, takes no part; scores beyond 64 bits wrap around; of rows
 under one id the least vector counts, once; vectors meet only those with as many components; ties go to the smaller id; a query with
@@ -18,21 +22,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, partitions
+from lodestone.llm.common import materialize, new_folder, partitions
 from lodestone.llm.sums import partition_sums
 
 BLOCK = 4096
-#: Blocks of vectors, and queries, that meet in one task.
-CELL_BLOCKS = 4
-QUERIES = 8192
+#: Packed bytes of a block, about, and blocks that a task meets (fewer where cores would idle).
+BLOCK_BYTES = 4 << 20
+CELL_BLOCKS = 64
+#: Queries, and their packed bytes, that are sent to all tasks at once, at most.
+QUERIES = 65536
+QUERY_BYTES = 8 << 20
+#: More components than this aren't rotated, as the second moments would not fit; bounds hold in any basis.
+ROTATED = 2048
 #: Products of components up to this size, summed, are exact in doubles.
 _EXACT = 2.0**52
 
-_PACKED = "dim int, block int, n int, longest double, ids binary, data binary"
-_SCHEMA = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("data", pa.binary())])
+_PACKED = "dim int, block long, n int, longest double, ids binary, data binary"
+_SCHEMA = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("data", pa.binary())])
+
+
+def packed(vectors: np.ndarray) -> bytes:
+    """Integers in the least width that holds all of them; the first byte is the width."""
+    most = max(abs(int(vectors.min(initial=0))), abs(int(vectors.max(initial=0)) + 1))
+    width = next(w for w in (2, 4, 8) if most <= 1 << (8 * w - 1))
+    return bytes([width]) + vectors.astype(f"<i{width}").tobytes()
+
+
+def unpacked(data: bytes, dim: int) -> np.ndarray:
+    flat = np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
+    return flat.reshape(-1, dim) if dim else flat.reshape(0, 0)
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -41,42 +63,39 @@ def quantised(vector: Column, scale: int) -> Column:
 
 
 def _sorted_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Pack (dim, id, vector, norm) into blocks by descending length."""
+    """Pack (dim, id, vector, norm) into blocks by descending length. Blocks are numbered by partition of the sorted rows and place in it, so
+    their numbers rise as lengths fall, and nothing has to be counted."""
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, dim = [], None
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, dim, number = [], None, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
             data = np.array([v for _, v in held], np.int64).reshape(len(held), dim)
             longest = math.sqrt(float((data[0].astype(float) ** 2).sum()))
-            return pa.RecordBatch.from_pydict({"dim": [dim], "block": [0], "n": [len(held)], "longest": [longest], "ids": [np.array([i for i, _ in held], np.int64).tobytes()], "data": [data.tobytes()]}, schema=_SCHEMA)
+            ids = np.array([i for i, _ in held], np.int64).tobytes()
+            return pa.RecordBatch.from_pydict({"dim": [dim], "block": [number], "n": [len(held)], "longest": [longest], "ids": [ids], "data": [packed(data)]}, schema=_SCHEMA)
 
         for batch in batches:
             for d, i, v in zip(batch["dim"].to_pylist(), batch["id"].to_pylist(), batch["vector"].to_pylist(), strict=True):
-                if held and (d != dim or len(held) == block):
+                if held and (d != dim or len(held) >= min(block, BLOCK_BYTES // (2 * max(1, d)) + 1)):
                     yield flush()
-                    held = []
+                    held, number = [], number + 1
                 dim = d
                 held.append((i, v))
         if held:
             yield flush()
 
-    n = partitions(rows)
-    dealt = rows.repartitionByRange(n, "dim", F.desc("norm"), "id").sortWithinPartitions("dim", F.desc("norm"), "id")
-    made = materialize(dealt.mapInArrow(packed, _PACKED), "vectors")
-    # Blocks are few (rows over BLOCK, for each partition): numbering them by length is a window over a row per block.
-    order = Window.partitionBy("dim").orderBy(F.desc("longest"), F.xxhash64("ids"))
-    return materialize(made.withColumn("block", F.row_number().over(order) - 1), "vectors")
+    dealt = rows.repartitionByRange(partitions(rows), "dim", F.desc("norm"), "id").sortWithinPartitions("dim", F.desc("norm"), "id")
+    return materialize(dealt.mapInArrow(gather, _PACKED), "vectors")
 
 
-def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = [np.frombuffer(x.as_py(), np.int64) for x in table["ids"]]
-    dim = table["dim"][0].as_py()
-    return np.concatenate(ids), np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(len(i), dim) for i, x in zip(ids, table["data"], strict=True)])
+def _rows(row: dict, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, unpacked(row["data"], dim).reshape(len(ids), dim)
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return np.array([np.frombuffer(x.as_py(), np.int64) for x in column], np.int64).reshape(len(column), dim)
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    return (row for batch in batches for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist())
 
 
 class Search:
@@ -140,72 +159,92 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     spark = vectors.sparkSession
     finite = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
-    rows = rows.groupBy("id").agg(F.min(quantised(F.col("v"), scale)).alias("vector"))
+    # Only where ids repeat are vectors brought together by id.
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = rows.select("id", quantised(F.col("v"), scale).alias("vector"))
+    else:
+        rows = rows.groupBy("id").agg(F.min(quantised(F.col("v"), scale)).alias("vector"))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     rows = rows.select(F.size("vector").alias("dim"), "id", "vector", norm.alias("norm"))
     blocks = _sorted_blocks(rows, block)
-    out = None
+    found = new_folder(spark, "found")
+    schema = "query_id long, id long, score long"
+    spark.createDataFrame([], schema).write.parquet(found)
     for dim in sorted(r.dim for r in blocks.select("dim").distinct().collect()):
-        one = _search(blocks.where(F.col("dim") == dim), dim, is_query, k, block, cell_blocks, queries)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, id long, score long")
+        _search(blocks.where(F.col("dim") == dim), dim, is_query, k, cell_blocks, queries, found)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = spark.read.schema(schema).parquet(found).withColumn("rank", F.row_number().over(order))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+_QUERIES = pa.schema([("batch", pa.int64()), ("need", pa.float64()), ("ids", pa.binary()), ("data", pa.binary()), ("floor", pa.binary())])
 
 
-def _search(blocks: DataFrame, dim: int, is_query: Column, k: int, block: int, cell_blocks: int, queries: int) -> DataFrame:
+def _search(blocks: DataFrame, dim: int, is_query: Column, k: int, cell_blocks: int, queries: int, found: str) -> None:
+    """Append (query_id, id, score) of the vectors of one size to a folder: the best k of each task for each query."""
+
     def moments(batch: pa.RecordBatch) -> np.ndarray:
-        _, data = _rows(pa.Table.from_batches([batch]))
-        data = data.astype(float)
-        return (data.T @ data).reshape(-1)
+        return sum((x.T @ x for x in (_rows(row, dim)[1].astype(float) for row in _each(iter([batch])))), np.zeros((dim, dim))).reshape(-1)
 
-    second = partition_sums(blocks.select("dim", "ids", "data"), dim * dim, moments).reshape(dim, dim)
-    rotation = np.linalg.svd(second)[0] if dim else np.empty((0, 0))
+    if 0 < dim <= ROTATED:
+        rotation = np.linalg.svd(partition_sums(blocks.select("ids", "data"), dim * dim, moments).reshape(dim, dim))[0]
+    else:
+        rotation = np.eye(dim)
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, data = _rows(pa.Table.from_batches([batch]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in data], pa.binary()), pa.array((data.astype(float) ** 2).sum(1))], names=["id", "data", "norm"])
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            ids, data = _rows(row, dim)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in data], pa.binary())], names=["id", "data"])
 
-    asked = blocks.select("dim", "ids", "data").mapInArrow(unpacked, "id long, data binary, norm double").where(is_query)
-    group = F.pmod(F.xxhash64("id"), F.lit(_groups(asked, queries))).cast("int")
-    asked = materialize(asked.withColumn("group", group), "queries")
+    asked = blocks.select("ids", "data").mapInArrow(single, "id long, data binary").where(is_query)
     # The longest vectors, a block at most: it is collected, as its size is fixed, and gives each query its first threshold.
-    first = blocks.where(F.col("block") == 0).select("dim", "ids", "data").limit(1).toArrow()
-    first_ids, first_rows = _rows(first)
+    first = blocks.agg(F.min("block")).first()[0]
+    first_ids, first_rows = _rows(blocks.where(F.col("block") == first).select("ids", "data").toArrow().to_pylist()[0], dim)
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            search = Search(batch["id"].to_numpy(), _matrix(batch["data"], dim), rotation, k)
-            search.meet(first_ids, first_rows)
-            yield pa.RecordBatch.from_arrays([batch["group"], batch["id"], batch["data"], pa.array(search.length), pa.array(search.floor)], names=["group", "id", "data", "length", "floor"])
-
-    ready = materialize(asked.mapInArrow(floors, "group int, id long, data binary, length double, floor double"), "floors")
-    cell = F.floor(F.col("block") / cell_blocks).cast("int")
-    cells = blocks.withColumn("cell", cell).groupBy("cell").agg(F.max("longest").alias("longest"))
-    # A group of queries meets a cell unless even its longest vector can't matter to any of them.
-    need = ready.groupBy("group").agg(F.min(F.when(F.col("length") > 0, F.col("floor") / F.col("length")).otherwise(F.lit(float("-inf")))).alias("need"))
-    # Cells are numbered by descending length, so those that matter are the first ones: their number is a running count
-    # over cells and groups sorted by length (a row for each, not for each pair).
-    marks = cells.select(F.lit(None).cast("int").alias("group"), (F.col("longest") * (1 + 1e-9) + 1e-9).alias("at"), F.lit(1).alias("one")).union(need.select("group", "need", F.lit(0)))
-    upto = marks.withColumn("upto", F.sum("one").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("at"), F.desc("one")))).where("group IS NOT NULL AND upto > 0")
-    meets = materialize(upto.select("group", F.explode(F.sequence(F.lit(0), (F.col("upto") - 1).cast("int"))).alias("cell")), "meets")
-    left = ready.join(meets, "group")
-    right = blocks.withColumn("cell", cell).join(meets, "cell")
-
-    def run(own: pa.Table, others: pa.Table) -> pa.Table:
-        if not own.num_rows or not others.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        search = Search(own["id"].to_numpy(), _matrix(own["data"], dim), rotation, k, own["floor"].to_numpy())
-        for i in np.argsort(others["block"].to_numpy()):
-            search.meet(*_rows(others.slice(int(i), 1)))
-        query, ids, score = search.best
-        return pa.table({"query_id": search.ids[query], "id": ids, "score": score})
-
-    found = left.groupBy("group", "cell").cogroup(right.groupBy("group", "cell")).applyInArrow(run, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+            if batch.num_rows:
+                own = np.frombuffer(b"".join(batch["data"].to_pylist()), np.int64).reshape(batch.num_rows, dim)
+                search = Search(batch["id"].to_numpy(), own, rotation, k)
+                search.meet(first_ids, first_rows)
+                need = np.where(search.length > 0, search.floor / np.where(search.length > 0, search.length, 1), -np.inf)
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["data"], pa.array(search.floor), pa.array(need)], names=["id", "data", "floor", "need"])
+
+    ready = materialize(asked.mapInArrow(floors, "id long, data binary, floor double, need double"), "floors")
+    most = max(1, min(queries, QUERY_BYTES // (8 * max(1, dim))))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            ids, data, floor, need = zip(*held, strict=True)
+            own = np.frombuffer(b"".join(data), np.int64).reshape(len(ids), dim)
+            return pa.RecordBatch.from_pydict({"batch": [number], "need": [min(need)], "ids": [np.array(ids, np.int64).tobytes()], "data": [packed(own)], "floor": [np.array(floor).tobytes()]}, schema=_QUERIES)
 
+        for batch in batches:
+            for x in zip(*(batch[c].to_pylist() for c in ("id", "data", "floor", "need")), strict=True):
+                held.append(x)
+                if len(held) >= most:
+                    yield flush()
+                    held, number = [], number + 1
+        if held:
+            yield flush()
 
-def _groups(asked: DataFrame, queries: int) -> int:
-    return max(1, -(-asked.count() // queries))
+    dealt = ready.repartitionByRange(max(1, -(-ready.count() // most)), F.desc("need"), "id").sortWithinPartitions(F.desc("need"), "id")
+    batches = materialize(dealt.mapInArrow(together, "batch long, need double, ids binary, data binary, floor binary"), "asked")
+    n, cores = blocks.count(), blocks.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, cores), -(-n // cell_blocks))
+    for batch in sorted(r.batch for r in batches.select("batch").collect()):  # as many jobs as batches; each row was bounded as it was made
+        asked_now = batches.where(F.col("batch") == batch).toArrow().to_pylist()[0]
+        ids, data = _rows(asked_now, dim)
+        floor, need = np.frombuffer(asked_now["floor"]), asked_now["need"]
+
+        def run(parts: Iterator[pa.RecordBatch], ids: np.ndarray = ids, data: np.ndarray = data, floor: np.ndarray = floor) -> Iterator[pa.RecordBatch]:
+            search = Search(ids, data, rotation, k, floor)
+            for row in _each(parts):
+                search.meet(*_rows(row, dim))
+            query, partner, score = search.best
+            yield pa.RecordBatch.from_arrays([pa.array(search.ids[query]), pa.array(partner), pa.array(score)], names=["query_id", "id", "score"])
+
+        far = blocks.where(F.col("longest") * (1 + 1e-9) + 1e-9 >= need) if math.isfinite(need) else blocks
+        far.select("ids", "data").coalesce(tasks).mapInArrow(run, "query_id long, id long, score long").write.mode("append").parquet(found)

@@ -50,3 +50,26 @@ def test_pruning_leaves_most_out():
     for start in range(0, 3000, 300):
         search.meet(np.arange(start, start + 300), base[start : start + 300])
     assert sum(scored) < 5 * 3000 / 4
+
+
+def test_vectors_are_packed_in_the_least_width():
+    for most, width in ((32767, 2), (32768, 4), (-32768, 2), (2**31, 8), (0, 2)):
+        data = np.array([[1, most], [-5, 0]], np.int64)
+        assert topk.packed(data)[0] == width and (topk.unpacked(topk.packed(data), 2) == data).all()
+
+
+def test_vectors_are_shuffled_once_and_only_to_be_sorted(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name, real=topk.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(topk, "materialize", kept)
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(300)], "vec_id long, embedding array<float>").repartition(4)
+    result = topk.top_k(df, F.col("id") % 10 == 0, block=16, queries=7)
+    assert result.count() == 300
+    exchanges = [line for plan in [*plans, result._jdf.queryExecution().executedPlan().toString()] for line in plan.splitlines() if "Exchange" in line]
+    assert not any("hashpartitioning(dim" in x for x in exchanges)
+    assert sum("rangepartitioning(dim" in x for x in exchanges) == 1 and not any("Window" in plan for plan in plans)
