@@ -67,10 +67,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of a table that stay, with all their columns: one for each text, rows repeated under its id included."""
+    """The rows of a table that stay, with all their columns: one for each text. Of rows repeated under its id, the least by their other columns
+    (as JSON) and the text's hash stays, so the choice is the same in any run; null ids come last."""
     index = DigestIndex(docs.sparkSession, buckets=max(8, partitions(docs)))
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     kept = deduplicate(docs, index, id_col, text_col).where("kept").select(key(F.col("id")).alias("__key"), F.col("digest").alias("__digest")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), key(F.col(id_col).cast("long")).alias("__key"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("__digest"))
+    others = F.to_json(F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col)))
+    rows = docs.select(
+        F.struct("*").alias("row"), F.struct(others, F.xxhash64(F.col(text_col))).alias("__order"),
+        key(F.col(id_col).cast("long")).alias("__key"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("__digest"),
+    )
     # One exchange of the texts: the join and the removal of repeated rows deal by the same two columns.
-    return rows.join(kept.hint("merge"), ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select("row.*")
+    stay = rows.join(kept.hint("merge"), ["__key", "__digest"], "left_semi").groupBy("__key", "__digest").agg(F.min_by("row", "__order").alias("row"))
+    return stay.select("row.*")

@@ -183,14 +183,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of a table that classify() predicts 1, with all their columns. Rows are decided one by one as they are read, so no text is shuffled."""
-    model = fit(statistics(docs, id_col, text_col), labels, learn=fold(F.col("id")) != 0, id_col=id_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array([statistics_of((t.as_py() or "").encode()) for t in batch[text_col]], np.float32).astype(np.float64)
-            yield batch.filter(pa.array(model.score(x) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of a table that classify() predicts 1, with all their columns, whatever their names. Rows are decided one by one, so repeated rows and
+    ids, and null ids, have each row's own outcome, and no text is shuffled; a null or empty text is scored as such; an empty table gives
+    an empty table. Each text is measured once: rows are written with their statistics, and read again when the model is known."""
+
+    def measure(texts: pa.Array) -> pa.Array:
+        rows = [statistics_of(t.as_py()) for t in texts]
+        flat = pa.array(np.array(rows, np.float32).reshape(-1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * STATISTICS), flat)
+
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    measured = materialize(docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.arrow_udf(measure, "array<float>")(text).alias("x")), "measured")
+    model = fit(measured.select("id", "x"), labels, learn=fold(F.col("id")) != 0, id_col=id_col)
+    good = F.arrow_udf(lambda x: pa.array(model.score(_matrix(x)) >= threshold, pa.bool_()) if len(x) else pa.array([], pa.bool_()), "boolean")
+    return measured.where(good("x")).select("row.*")

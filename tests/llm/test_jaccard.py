@@ -6,6 +6,7 @@ import pytest
 from lodestone.llm import jaccard
 from lodestone.llm import queries as Q
 from lodestone.llm.graph import components
+from tests.oracle import assert_same
 
 
 def shingles(text):
@@ -45,6 +46,12 @@ def test_query(spark):
     assert got == want and any(i != c for i, _, c in want)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_oracle(spark, sf):
+    sf_dir = f"/root/testdata/{sf}"
+    assert_same(Q.op6_jaccard(spark, sf_dir), sf_dir, Q.OP6_SQL)
+
+
 def variants():
     rng = np.random.default_rng(5)
     word = lambda: "w" + str(rng.integers(0, 4000))
@@ -117,3 +124,37 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {5: 5, 7: 5, 200: 5} | {i: 300 for i in range(300, 340)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parts_that_can_link_meet():
+    rng = np.random.default_rng(0)
+    for percent in (75, 50, 90):
+        sizes = [int(x) for x in rng.integers(1, 3000, 200)] + [1, 1, 2, 3, 4, 400, 300, 533]
+        names = [rng.bytes(16) for _ in sizes]
+        bands = {b: 1 + b % 3 for b in {jaccard.band(n, percent) for n in sizes}}
+        tasks = [set(jaccard.meetings(n, d, bands, percent)) for n, d in zip(sizes, names)]
+        for i, n in enumerate(sizes):
+            assert tasks[i]
+            for j, m in enumerate(sizes):
+                if 100 * min(n, m) >= percent * max(n, m):
+                    assert tasks[i] & tasks[j], (n, m)
+
+
+def test_rarity_rises_with_the_count():
+    counts = np.unique(np.concatenate([np.arange(1, 400), (1.1 ** np.arange(50, 300)).astype(int)]))
+    found = jaccard.rarity(counts)
+    assert (np.diff(found.astype(int)) >= 0).all() and len(np.unique(found)) > 240 and (found[:190] == counts[:190]).all()
+
+
+def test_nothing_is_joined_by_component(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name, real=jaccard.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "materialize", kept)
+    rows = variants()
+    assert jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).count() == len(rows)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "root" in line.split("Join", 1)[1].split("]")[0]]
+    assert len(joins) <= 1  # the few components that are too large for a task, with their members' places

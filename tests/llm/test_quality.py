@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import quality
 from lodestone.llm import queries as Q
-from lodestone.llm.sums import tree_sum
+from lodestone.llm.sums import dense, sparse, tree_sum
 
 
 def test_held_out_accuracy(spark):
@@ -46,6 +46,20 @@ def test_edge_cases(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_keep_good_decides_as_classify_row_by_row(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    more = [(None, None, "en", "s", 0), (None, "", "en", "s", 0), (10**6, None, None, None, None), (10**6 + 1, "word " * 60_000, "en", "s", 1), (10**6 + 1, "$$$ ### !!!", "en", "s", 1), (10**6 + 2, "## && !! " * 500, None, "s", 1), (10**6 + 2, "## && !! " * 500, None, "s", 1)]
+    every = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({"row": F.lit(1), "x": F.lit("x"), "id": F.lit(2), "batch": F.lit(None).cast("string"), "score": F.lit(0.5)})
+    want = sorted((str(r.id), r.predicted) for r in quality.classify(every, labels).collect())
+    kept = quality.keep_good(every, labels)
+    assert kept.columns == every.columns
+    got = sorted(str(r.doc_id) for r in kept.collect())
+    assert got == sorted(i for i, p in want if p) and len(want) == every.count() and 0 < len(got) < len(want)
+    assert quality.keep_good(every.limit(0), labels).count() == 0
+    assert quality.keep_good(every, labels.limit(0)).count() == every.count()  # with no labels the score is 0.5
+
+
 @pytest.mark.parametrize("n", [1, 40])
 def test_tree_sum(spark, n):
     rows = spark.range(n * 30).repartition(n).mapInArrow(lambda it: (__import__("pyarrow").RecordBatch.from_pydict({"at": [int(i)], "sums": [np.array([float(i)]).tobytes()]}) for b in it for i in b["id"].to_pylist()), "at long, sums binary")
@@ -55,3 +69,8 @@ def test_tree_sum(spark, n):
 def test_isotonic():
     c, v = quality.isotonic(np.arange(4.0), np.array([2, 2, 0, 4.0]), np.array([1, 0, 0, 4.0]))
     assert v.tolist() == [0.25, 1.0] and c.tolist() == [0.5, 3.0]
+
+
+def test_sparse_vectors_come_back():
+    for v in (np.zeros(9), np.array([0, 3, 0, 0, 1e9, 1.0]), np.arange(5.0)):
+        assert (dense(sparse(v)) == v).all()

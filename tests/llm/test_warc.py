@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import queries as Q
 from lodestone.llm import warc
 from lodestone.llm.common import new_folder
+from tests.oracle import assert_same
 
 SCHEMA = "page_id long, url string, html string, digest string, kind int, shard int"
 
@@ -67,3 +68,48 @@ def test_damaged_file():
     assert [b for _, b in warc.parse(iter([whole[:20], whole[20:] + whole]))][0].endswith(b"abc")
     with pytest.raises(ValueError):
         list(warc.parse(iter([whole[:-9]])))
+
+
+HOSTILE = ["http://a/\r\n\r\nb", "http://a/\r\nb", "x\r\nWARC-Type: revisit", " lead", "trail\t", "\n", "a%0D%0Ab", "é/\u3000", "\x85", "plain", 'quo"te\\', "tab\there", "\x00\x7f"]
+
+
+def test_urls_of_any_characters_come_back(spark):
+    rows = [(i, u, f"page {i % 4}") for i, u in enumerate(HOSTILE)]
+    folder = new_folder(spark, "warc_test")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = {r.id: (r.url, r.record_type) for r in warc.read(spark, folder).collect()}
+    assert got == {i: (u, "response" if i < 4 else "revisit") for i, u, _ in rows}
+    root = folder.removeprefix("file://")
+    for name in os.listdir(root):
+        if name.endswith(".gz"):
+            heads = [part.split(b"\r\n\r\n")[0] for part in gzip.open(f"{root}/{name}").read().split(b"WARC/1.1\r\n")[1:]]
+            assert all(sum(line.startswith(b"WARC-Type:") for line in head.split(b"\r\n")) == 1 for head in heads)
+
+
+def jobs(spark, run):
+    group = new_folder(spark, "counted")
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return n
+
+
+def test_cuts_take_as_many_jobs_for_crowded_ids(spark):
+    even = spark.range(256).select("id", F.lit(100).alias("size"))
+    crowded = spark.range(256).select((F.col("id") + F.when(F.col("id") % 7 == 0, 2**60).otherwise(F.col("id") * 2**40)).alias("id"), F.lit(100).alias("size"))
+    counts = [jobs(spark, lambda d=d, n=n: warc.cuts(d, n)) for d in (even, crowded) for n in (10, 1000, 10**6)]
+    assert max(counts) <= 12 and max(counts) - min(counts) <= 3, counts
+    assert warc.cuts(even, 1000) == list(range(10, 256, 10))
+
+
+def test_a_shared_id_is_cut(spark):
+    rows = [(7, "u", f"{i} " * 100) for i in range(200)] + [(None, "n", f"n{i} " * 100) for i in range(100)]
+    folder = new_folder(spark, "warc_test")
+    shards = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), folder, shard_bytes=5000)
+    assert shards.select("shard").distinct().count() > 10
+    assert warc.read(spark, folder).count() == 300
+
+
+def test_oracle(spark, sf_dir):
+    assert_same(Q.op3_warc(spark, sf_dir), sf_dir, Q.OP3_SQL)
