@@ -177,7 +177,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     return best.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-_QUERIES = pa.schema([("batch", pa.int64()), ("need", pa.float64()), ("ids", pa.binary()), ("data", pa.binary()), ("floor", pa.binary())])
+_QUERIES = pa.schema([("batch", pa.int64()), ("n", pa.int64()), ("need", pa.float64()), ("ids", pa.binary()), ("data", pa.binary()), ("floor", pa.binary())])
 
 
 def _search(blocks: DataFrame, dim: int, is_query: Column, k: int, cell_blocks: int, queries: int, found: str) -> None:
@@ -219,7 +219,7 @@ def _search(blocks: DataFrame, dim: int, is_query: Column, k: int, cell_blocks:
         def flush() -> pa.RecordBatch:
             ids, data, floor, need = zip(*held, strict=True)
             own = np.frombuffer(b"".join(data), np.int64).reshape(len(ids), dim)
-            return pa.RecordBatch.from_pydict({"batch": [number], "need": [min(need)], "ids": [np.array(ids, np.int64).tobytes()], "data": [packed(own)], "floor": [np.array(floor).tobytes()]}, schema=_QUERIES)
+            return pa.RecordBatch.from_pydict({"batch": [number], "n": [len(ids)], "need": [min(need)], "ids": [np.array(ids, np.int64).tobytes()], "data": [packed(own)], "floor": [np.array(floor).tobytes()]}, schema=_QUERIES)
 
         for batch in batches:
             for x in zip(*(batch[c].to_pylist() for c in ("id", "data", "floor", "need")), strict=True):
@@ -231,13 +231,20 @@ def _search(blocks: DataFrame, dim: int, is_query: Column, k: int, cell_blocks:
             yield flush()
 
     dealt = ready.repartitionByRange(max(1, -(-ready.count() // most)), F.desc("need"), "id").sortWithinPartitions(F.desc("need"), "id")
-    batches = materialize(dealt.mapInArrow(together, "batch long, need double, ids binary, data binary, floor binary"), "asked")
+    batches = materialize(dealt.mapInArrow(together, "batch long, n long, need double, ids binary, data binary, floor binary"), "asked")
     n, cores = blocks.count(), blocks.sparkSession.sparkContext.defaultParallelism
     tasks = max(1, min(n, cores), -(-n // cell_blocks))
-    for batch in sorted(r.batch for r in batches.select("batch").collect()):  # as many jobs as batches; each row was bounded as it was made
-        asked_now = batches.where(F.col("batch") == batch).toArrow().to_pylist()[0]
-        ids, data = _rows(asked_now, dim)
-        floor, need = np.frombuffer(asked_now["floor"]), asked_now["need"]
+    # Neighbouring batches that are small go together; what is sent at once stays within the bound.
+    spans: list[list] = []
+    for r in sorted(batches.select("batch", "n", "need").collect()):
+        if spans and spans[-1][2] + r.n <= most:
+            spans[-1] = [spans[-1][0], r.batch, spans[-1][2] + r.n, min(spans[-1][3], r.need)]
+        else:
+            spans.append([r.batch, r.batch, r.n, r.need])
+    for low, high, _, need in spans:
+        held = sorted(batches.where(F.col("batch").between(low, high)).toArrow().to_pylist(), key=lambda row: row["batch"])
+        ids, data = (np.concatenate(x) for x in zip(*(_rows(row, dim) for row in held), strict=True))
+        floor = np.concatenate([np.frombuffer(row["floor"]) for row in held])
 
         def run(parts: Iterator[pa.RecordBatch], ids: np.ndarray = ids, data: np.ndarray = data, floor: np.ndarray = floor) -> Iterator[pa.RecordBatch]:
             search = Search(ids, data, rotation, k, floor)
