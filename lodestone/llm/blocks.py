@@ -10,7 +10,7 @@ Traffic: a group sends each of its distinct words once, in a message for each bu
 measured size of all dictionaries, which grow slower than the text, and is the number of shuffle partitions up to BUCKET_BYTES a bucket.
 
 Memory: a task holds one group, or what one bucket gets (BUCKET_BYTES, packed). The tables are left to the cluster's clean-up, as results
-are lazy and read them; drop_tables() takes those of this process out of the catalog.
+are lazy and read them; common.drop_tables() takes those of this process out of the catalog.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lodestone.llm.common import input_bytes, partitions, shared_dir
+from lodestone.llm.common import input_bytes, own_table, partitions, shared_dir
 
 BLOCK_BYTES = 16 << 20
 BLOCK_WORDS = 4 << 20
@@ -43,7 +43,6 @@ BUCKET_BYTES = 32 << 20
 TABLE_BYTES = 128 << 20
 #: Dictionary words below which a bucket isn't worth a task.
 _FEW = 4096
-_made: list[str] = []
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -75,7 +74,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def spans(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, start, end) of sorted hashes: buckets are ranges of hashes; those that get nothing are left out."""
-    edges = np.searchsorted(hashes, -(-(np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)))
+    edges = np.searchsorted(hashes, [-(-(b << 32) // buckets) for b in range(buckets)] + [1 << 32])
     return [(b, int(s), int(e)) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if e > s]
 
 
@@ -244,13 +243,6 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if builder.ids or builder.blocks:
             yield pa.RecordBatch.from_pylist([builder.row(True)], schema=_ARROW)
 
-    name = f"blocks_{uuid.uuid4().hex}"
+    name = own_table(f"blocks_{uuid.uuid4().hex}")
     rows.mapInArrow(build, _BLOCK).write.format("parquet").bucketBy(buckets, "group").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
-    _made.append(name)
     return Blocks(spark.table(name))
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Take the tables of blocks that this process made out of the catalog. Their files stay in the shared folder."""
-    while _made:
-        spark.sql(f"DROP TABLE IF EXISTS {_made.pop()}")

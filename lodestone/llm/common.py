@@ -36,6 +36,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def own_table(name: str) -> str:
+    """Note a catalog table that this process made for itself, for drop_tables()."""
+    _tables.append(name)
+    return name
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Take the catalog tables that this process made for itself out of the catalog, once their results have been used. Their files stay in the
+    shared folder, for the cluster's clean-up."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file systems."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

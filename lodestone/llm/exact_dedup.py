@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, normalised, partitions, remove, shared_dir
+from lodestone.llm.common import materialize, normalised, own_table, partitions, remove, shared_dir
 
 
 class DigestIndex:
@@ -27,7 +27,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        self.name = name or own_table(f"digest_index_{uuid.uuid4().hex}")
         self.path = path or f"{shared_dir(spark)}/{self.name}"
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         spark.sql(

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import blocks, bpe, common
+from lodestone.llm import blocks, bpe, common, exact_dedup
 from lodestone.llm import queries as Q
 
 
@@ -30,9 +30,19 @@ def test_blocks_of_a_task_share_a_dictionary(spark):
     assert made.groups == len(by_group)
 
 
+def test_buckets_are_ranges_of_equal_width():
+    hashes = np.sort(np.random.default_rng(0).integers(0, 1 << 32, 50_000, dtype=np.uint32))
+    for n in (1, 2, 7, 51, 1000):
+        got = blocks.spans(hashes, n)
+        assert [b for b, _, _ in got] == list(range(n)) and got[0][1] == 0 and got[-1][2] == len(hashes)
+        assert all(a[2] == b[1] for a, b in zip(got, got[1:])) and max(e - s for _, s, e in got) < 2 * len(hashes) / n + 50
+        assert all((hashes[s:e].astype(np.uint64) * n >> np.uint64(32) == b).all() for b, s, e in got)
+    assert blocks.spans(hashes[:0], 5) == []
+
+
 def test_messages_grow_no_faster_than_the_input(spark):
     sent = []
-    for n in (400, 1600):
+    for n in (1200, 4800):  # with enough words for a bucket in each partition
         made = blocks.write_blocks(docs_of(spark, n, n // 100), block_bytes=8000)
         answers = made.answers(lambda words, _: lambda at: b"x" * len(at))
         sent.append((answers.count(), made.groups))
@@ -54,9 +64,13 @@ def test_results_do_not_depend_on_blocks(spark, share, size):
 
 def test_tables_leave_the_catalog(spark):
     blocks.write_blocks(docs_of(spark, 10, 1))
-    assert any(t.name.startswith("blocks_") for t in spark.catalog.listTables())
-    blocks.drop_tables(spark)
-    assert not any(t.name in blocks._made for t in spark.catalog.listTables())
+    exact_dedup.DigestIndex(spark)
+    exact_dedup.DigestIndex(spark, name="digest_index_to_keep")
+    own = ("blocks_", "digest_index_")
+    assert len({p for t in spark.catalog.listTables() for p in own if t.name.startswith(p)}) == 2
+    common.drop_tables(spark)
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith(own)] == ["digest_index_to_keep"]
+    exact_dedup.DigestIndex(spark, name="digest_index_to_keep").drop()
 
 
 def test_sizes_of_tables_that_spark_does_not_know(spark):
