@@ -395,7 +395,7 @@ def _joined(blocks: Blocks, owned: DataFrame, groups: DataFrame, n: int, percent
     bands = tied.groupBy("root", of.alias("band")).agg(F.sum("n").alias("size"))
     parts = F.struct("band", F.ceil(F.col("size") * 2 / task_grams).cast("int").alias("parts"))
     large = bands.groupBy("root").agg(F.sum("size").alias("size"), F.collect_list(parts).alias("bands")).where(F.col("size") > task_grams).select("root", "bands")
-    tied = tied.join(large, "root", "left")
+    tied = tied.join(materialize(large, "large"), "root", "left")  # written, so that members of one component can be split
     schema = pa.schema([("root", pa.binary()), ("p", pa.int64()), ("q", pa.int64()), ("name", pa.binary()), ("set", pa.binary())])
 
     def send(row: dict, wanted: list[dict]) -> Iterator[pa.RecordBatch]:
