@@ -14,11 +14,11 @@ from __future__ import annotations
 import numpy as np
 
 WIDTH = 32
-HIDDEN = 63
+HIDDEN = 47
 #: Inputs to a window, and how many of a later window's tokens are scored: the others are context.
 WINDOW, STRIDE = 32, 28
 #: Ids that are classes of their own; other classes, at most; members of a class, at most.
-SINGLE, CLUSTERS, MEMBERS = 16, 64, 512
+SINGLE, CLUSTERS, MEMBERS = 16, 48, 512
 #: Groups that a profile counts: frequent ids are groups of their own, the others are gathered by hash. Relations: before, after, near.
 TOP, GROUPS = 40, 64
 NEAR = (2, 3, 5, 8, 12)
@@ -193,6 +193,30 @@ def _by_class(inventory: Inventory, classes: np.ndarray) -> tuple[np.ndarray, li
     return order, [(c, s, e) for c, s, e in zip(held.tolist(), edges.tolist(), ends.tolist(), strict=True) if inventory.sizes[c] > 1]
 
 
+class _Members:
+    """The members' logits of rows sorted by class, one row's after another's, so that what is done to all of them is done at once."""
+
+    def __init__(self, p: dict[str, np.ndarray], inventory: Inventory, layer: np.ndarray, classes: np.ndarray, slots: np.ndarray, runs: list[tuple[int, int, int]]):
+        size = inventory.sizes[classes]
+        self.rows = np.flatnonzero(size > 1)
+        self.size = size[self.rows]
+        ends = np.cumsum(self.size)
+        self.starts = ends - self.size
+        self.flat = np.empty(int(ends[-1]) if len(ends) else 0, layer.dtype)
+        self.parts, at = [], 0
+        for c, s, e in runs:
+            span, n = slice(inventory.begin[c], inventory.begin[c] + inventory.sizes[c]), (e - s) * inventory.sizes[c]
+            own = self.flat[at : at + n].reshape(e - s, -1)
+            np.matmul(layer[s:e], p["T"][span].T, out=own)
+            self.parts.append((slice(s, e), span, own))
+            at += n
+        np.clip(self.flat, -60, 60, out=self.flat)
+        self.at = self.starts + slots[self.rows]
+        self.chosen = self.flat[self.at]
+        np.exp(self.flat, out=self.flat)
+        self.sums = np.add.reduceat(self.flat, self.starts) if len(ends) else np.empty(0, layer.dtype)
+
+
 def log_probabilities(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, targets: np.ndarray, last: int) -> np.ndarray:
     """Natural logarithms of the probabilities of the last targets of each window."""
     flat = targets[:, -last:].reshape(-1)
@@ -204,12 +228,9 @@ def log_probabilities(p: dict[str, np.ndarray], inventory: Inventory, inputs: np
     found = logits[np.arange(len(order)), classes]
     np.exp(logits, out=logits)
     sums = _sums(logits)
-    for c, s, e in runs:
-        own = layer[s:e] @ p["T"][inventory.begin[c] : inventory.begin[c] + inventory.sizes[c]].T
-        np.clip(own, -60, 60, out=own)
-        found[s:e] += own[np.arange(e - s), slots[s:e]]
-        np.exp(own, out=own)
-        sums[s:e] *= _sums(own)
+    members = _Members(p, inventory, layer, classes, slots, runs)
+    found[members.rows] += members.chosen
+    sums[members.rows] *= members.sums
     out = np.full(len(flat), inventory.unseen_log, found.dtype)
     out[order] = found - np.log(sums) + inventory.seen_log
     return out.reshape(-1, last)
@@ -235,18 +256,13 @@ def gradients(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray
     logits[rows, classes] -= kind(1 / total)
     g = {"U": logits.T @ layer, "T": np.zeros_like(p["T"])}
     dlayer = logits @ p["U"]
-    for c, s, e in runs:
-        span = slice(inventory.begin[c], inventory.begin[c] + inventory.sizes[c])
-        own, at = layer[s:e] @ p["T"][span].T, (rows[: e - s], slots[s:e])
-        np.clip(own, -60, 60, out=own)
-        loss -= float(own[at].sum(dtype=np.float64))
-        np.exp(own, out=own)
-        sums = _sums(own)
-        loss += float(np.log(sums).sum(dtype=np.float64))
-        own *= (1 / (sums * kind(total)))[:, None]
-        own[at] -= kind(1 / total)
-        g["T"][span] = own.T @ layer[s:e]
-        dlayer[s:e] += own @ p["T"][span]
+    members = _Members(p, inventory, layer, classes, slots, runs)
+    loss += float(np.log(members.sums).sum(dtype=np.float64) - members.chosen.sum(dtype=np.float64))
+    members.flat *= np.repeat(1 / (members.sums * kind(total)), members.size)
+    members.flat[members.at] -= kind(1 / total)
+    for some, span, own in members.parts:
+        g["T"][span] = own.T @ layer[some]
+        dlayer[some] += own @ p["T"][span]
     dlayer *= layer > 0
     gathered = both.T @ dlayer
     g["M"], g["m"] = np.ascontiguousarray(gathered[:, :-1]), dlayer.sum(0)[:-1]

@@ -33,13 +33,13 @@ from lodestone.llm.sums import dense, partition_sums, sparse, tree_sum
 
 ROUNDS = 4
 #: Windows to a step.
-BATCH = 128
+BATCH = 256
 #: Windows that one partition trains on in a round, about, and holds at once at most.
 PART_WINDOWS = 65536
 #: Windows that travel in one row.
 RUN_WINDOWS = 1024
 MIN_STEPS = 200
-RATE = 0.006
+RATE = 0.01
 CHUNK_WORDS = 1 << 17
 
 
