@@ -11,6 +11,9 @@ share the probability that Good and Turing's rule leaves to them, evenly.
 
 from __future__ import annotations
 
+import ctypes
+from functools import cache
+
 import numpy as np
 
 WIDTH = 32
@@ -26,6 +29,18 @@ _NAMES = ("Q", "K", "V", "M", "m", "U", "T")
 _LEAST = 1e-9
 
 
+@cache
+def keep_memory() -> None:
+    """Have this process keep up to 128 MB that it frees, where the C library can be told so: by default each batch's arrays go back to the
+    system and come again as fresh pages, whose faults cost about as much as the arithmetic."""
+    try:
+        tell = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError, TypeError):  # another C library
+        return
+    for option, size in ((-3, 32 << 20), (-1, 128 << 20), (-2, 16 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_TOP_PAD
+        tell(option, size)
+
+
 def _waves() -> np.ndarray:
     """A vector for each position: sines and cosines of rising wave length."""
     angle = np.arange(WINDOW)[:, None] / 64 ** (np.arange(WIDTH // 2) / (WIDTH // 2))
@@ -159,26 +174,36 @@ def _sums(a: np.ndarray) -> np.ndarray:
 
 
 def _attend(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray, last: int) -> tuple[np.ndarray, ...]:
-    """Embedded inputs, and for the last positions of each window what attention weighs and sees."""
+    """Embedded inputs, and for the last positions of each window what attention weighs, and beside the position itself what it sees.
+
+    Queries times keys are inputs times Q K' times inputs, so that the inputs are multiplied once; values are taken by _whole().
+    """
     n, w = inputs.shape
     kind = p["Q"].dtype
-    x = inventory.embedding[inputs] + _POSITIONS[:w].astype(kind, copy=False)
-    flat = x.reshape(-1, WIDTH)
-    keys, values = (flat @ p["K"]).reshape(x.shape), (flat @ p["V"]).reshape(x.shape)
+    x = inventory.embedding[inputs]
+    x += _POSITIONS[:w].astype(kind, copy=False)
     own = np.ascontiguousarray(x[:, w - last :])
-    asked = (own.reshape(-1, WIDTH) @ (p["Q"] * kind.type(WIDTH**-0.5))).reshape(own.shape)
-    weight = asked @ np.ascontiguousarray(keys.transpose(0, 2, 1))
+    asked = (own.reshape(-1, WIDTH) @ (p["Q"] @ p["K"].T * kind.type(WIDTH**-0.5))).reshape(own.shape)
+    weight = asked @ x.transpose(0, 2, 1)
     np.clip(weight, -30, 30, out=weight)
     np.exp(weight, out=weight)
     weight *= np.tri(last, w, w - last, dtype=kind)  # a position sees itself and what stands before it
     weight *= (1 / _sums(weight)).reshape(n, last, 1)
-    return x, keys, values, asked, weight, np.concatenate([own, weight @ values], 2).reshape(-1, 2 * WIDTH)
+    both = np.empty((n, last, 2 * WIDTH), kind)
+    both[:, :, :WIDTH] = own
+    np.matmul(weight, x, out=both[:, :, WIDTH:])
+    return x, weight, both.reshape(-1, 2 * WIDTH)
+
+
+def _whole(p: dict[str, np.ndarray]) -> np.ndarray:
+    """What the layer multiplies by: for the position itself M's first half, for the inputs that attention sees V times the second."""
+    return np.concatenate([p["M"][:WIDTH], p["V"] @ p["M"][WIDTH:]])
 
 
 def _layer(p: dict[str, np.ndarray], both: np.ndarray) -> np.ndarray:
     """The rectified layer, and a one in its last column."""
     whole, bias = np.zeros((2 * WIDTH, HIDDEN + 1), both.dtype), np.ones(HIDDEN + 1, both.dtype)
-    whole[:, :-1], bias[:-1] = p["M"], p["m"]
+    whole[:, :-1], bias[:-1] = _whole(p), p["m"]
     out = both @ whole
     out += bias
     return np.maximum(out, 0, out=out)
@@ -241,7 +266,7 @@ def gradients(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray
     n, w = inputs.shape
     flat = targets.reshape(-1)
     order, runs = _by_class(inventory, np.where(flat < 0, -1, inventory.of[flat]))
-    x, keys, values, asked, weight, whole = _attend(p, inventory, np.where(inputs < 0, inventory.start, inputs), w)
+    x, weight, whole = _attend(p, inventory, np.where(inputs < 0, inventory.start, inputs), w)
     kind, total = p["Q"].dtype.type, len(order)
     both = whole[order]
     layer = _layer(p, both)
@@ -265,20 +290,17 @@ def gradients(p: dict[str, np.ndarray], inventory: Inventory, inputs: np.ndarray
         dlayer[some] += own @ p["T"][span]
     dlayer *= layer > 0
     gathered = both.T @ dlayer
-    g["M"], g["m"] = np.ascontiguousarray(gathered[:, :-1]), dlayer.sum(0)[:-1]
+    dsaw, second = gathered[WIDTH:, :-1], p["M"][WIDTH:]
+    g["M"], g["m"], g["V"] = np.concatenate([gathered[:WIDTH, :-1], p["V"].T @ dsaw]), dlayer.sum(0)[:-1], dsaw @ second.T
     # What attention saw: its gradient goes back to the windows. Embeddings and positions stay as they are.
     dseen = np.zeros((n * w, WIDTH), whole.dtype)
-    dseen[order] = dlayer[:, :-1] @ p["M"][WIDTH:].T
+    dseen[order] = dlayer[:, :-1] @ (p["V"] @ second).T
     dseen = dseen.reshape(x.shape)
-    dvalues = np.ascontiguousarray(weight.transpose(0, 2, 1)) @ dseen
-    dscore = dseen @ np.ascontiguousarray(values.transpose(0, 2, 1))
+    dscore = dseen @ x.transpose(0, 2, 1)
     dscore -= _sums(dscore * weight).reshape(n, w, 1)
     dscore *= weight
-    dasked, dkeys = dscore @ keys, np.ascontiguousarray(dscore.transpose(0, 2, 1)) @ asked
-    fx = x.reshape(-1, WIDTH).T
-    three = fx @ np.concatenate([dasked, dkeys, dvalues], 2).reshape(-1, 3 * WIDTH)
-    g["Q"], g["K"], g["V"] = (np.ascontiguousarray(d) for d in np.split(three, 3, 1))
-    g["Q"] *= kind(WIDTH**-0.5)
+    between = x.reshape(-1, WIDTH).T @ (dscore @ x).reshape(-1, WIDTH) * kind(WIDTH**-0.5)
+    g["Q"], g["K"] = between @ p["K"], between.T @ p["Q"]
     return loss / total, g
 
 

@@ -132,6 +132,7 @@ def _windows(blocks: Blocks, answers: DataFrame, end_id: int, start_id: int, tok
     schema = pa.schema([("turn", pa.int32()), ("ids", pa.binary())])
 
     def read(row: dict, words: _Words) -> Iterator[pa.RecordBatch]:
+        attention.keep_memory()
         rng = np.random.default_rng(row["block"] & 0xFFFFFFFF)
         texts, turn = _Texts(row, words), int(rng.integers(ROUNDS))
         for docs, _, _, ids, ends in texts.chunks(end_id):
@@ -165,6 +166,7 @@ def inventory_of(windows: DataFrame, counts: np.ndarray) -> attention.Inventory:
     width = len(ranks.ids) * 3 * attention.GROUPS
 
     def of(batch: pa.RecordBatch) -> np.ndarray:
+        attention.keep_memory()
         return sum((ranks.profile(x) for x in _unpacked(iter([batch]))), np.zeros(width, np.int64))
 
     return attention.Inventory(counts, partition_sums(windows.select("ids"), width, of, sparse, dense))
@@ -178,6 +180,7 @@ def train(windows: DataFrame, inventory: attention.Inventory, rounds: int = ROUN
     encode = lambda x: x.astype(np.float32).tobytes()
 
     def learn(batches: Iterator[pa.RecordBatch], begin: dict[str, np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
+        attention.keep_memory()
         p = {k: v.copy() for k, v in begin.items()}
         adam, rng, seen, chunks = attention.Adam(p, RATE / (1 + turn)), np.random.default_rng(turn), 0, 0
 
@@ -222,6 +225,7 @@ def score(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: st
     end_base = math.log10(texts + 0.5) - divisor
 
     def read(row: dict, words: _Words) -> Iterator[pa.RecordBatch]:
+        attention.keep_memory()
         texts_of = _Texts(row, words)
         base_of = np.log10(words.counts + 0.5) - divisor
         for docs, at, word_ends, ids, ends in texts_of.chunks(size):

@@ -177,3 +177,31 @@ def test_profile_counts_neighbours_and_every_id_has_an_embedding():
     large = A.Inventory(rng.integers(0, 3, 4000).astype(float))
     assert large.sizes.max() <= A.MEMBERS and large.sizes.sum() == len(large.ids)
     assert np.bincount(large.of[large.ids]).tolist() == large.sizes.tolist()
+
+
+def test_batches_use_the_same_memory_again():
+    import resource
+
+    rng, inventory, p = small()
+    windows = inventory.ids[rng.integers(0, len(inventory.ids), (256, A.WINDOW + 1))]
+    flat, ends = windows.reshape(-1), np.array([windows.size])
+    A.keep_memory()
+    for batch in (lambda: A.gradients(p, inventory, windows[:, :-1], windows[:, 1:]), lambda: A.score_sequences(p, inventory, flat, ends)):
+        for _ in range(5):
+            batch()
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        for _ in range(20):
+            batch()
+        assert (resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 20 < 300  # pages; thousands, where each batch's arrays come anew
+
+
+def test_attention_is_that_of_queries_keys_and_values():
+    rng, inventory, p = small()
+    inputs = rng.integers(0, 300, (3, A.WINDOW))
+    x = inventory.embedding[inputs] + A._POSITIONS
+    score = (x @ p["Q"]) @ (x @ p["K"]).transpose(0, 2, 1) / math.sqrt(A.WIDTH)
+    weight = np.exp(score) * np.tri(A.WINDOW)
+    seen = weight / weight.sum(2, keepdims=True) @ (x @ p["V"])
+    want = np.maximum(np.concatenate([x, seen], 2).reshape(-1, 2 * A.WIDTH) @ p["M"] + p["m"], 0)
+    got = A._layer(p, A._attend(p, inventory, inputs, A.WINDOW)[-1])
+    assert np.allclose(got[:, :-1], want, atol=1e-4) and (got[:, -1] == 1).all()
