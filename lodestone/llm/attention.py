@@ -25,6 +25,8 @@ SINGLE, CLUSTERS, MEMBERS = 16, 48, 512
 #: Groups that a profile counts: frequent ids are groups of their own, the others are gathered by hash. Relations: before, after, near.
 TOP, GROUPS = 40, 64
 NEAR = (2, 3, 5, 8, 12)
+#: Windows whose neighbours are counted at once, so that their arrays stay small.
+PROFILED = 4096
 _NAMES = ("Q", "K", "V", "M", "m", "U", "T")
 _LEAST = 1e-9
 
@@ -64,17 +66,18 @@ class Ranks:
 
     def profile(self, windows: np.ndarray) -> np.ndarray:
         """Of windows of ids (-1: none): for each rank, relation and group, how often. Flat."""
-        shape = (len(self.ids), 3, GROUPS)
-        out = np.zeros(shape, np.int64)
-        rank, group = np.where(windows < 0, -1, self.rank[windows]), self.group[windows]
-        for step in (1, *NEAR):
-            earlier, later = slice(None, -step), slice(step, None)
-            held = (windows[:, earlier] >= 0) & (windows[:, later] >= 0)
-            for own, other, relation in ((later, earlier, 0), (earlier, later, 1)):
-                take = held & (rank[:, own] >= 0)
-                flat = rank[:, own][take] * GROUPS + group[:, other][take]
-                out[:, relation if step == 1 else 2] += np.bincount(flat, minlength=shape[0] * GROUPS).reshape(shape[0], GROUPS)
-        return out.reshape(-1)
+        n = len(self.ids)
+        out = np.zeros((3, (n + 1) * (GROUPS + 1)), np.int64)
+        # Pads, and ids without a rank, count in a row and a column behind the others, which are left out. An id of -1 takes the last place.
+        row, column = np.append(self.rank, -1), np.append(self.group, GROUPS)
+        row = np.where(row < 0, n, row) * (GROUPS + 1)
+        for s in range(0, len(windows), PROFILED):
+            ids = windows[s : s + PROFILED].T
+            own, other = row[ids], column[ids]
+            for step in (1, *NEAR):
+                for relation, flat in ((0, own[step:] + other[:-step]), (1, own[:-step] + other[step:])):
+                    out[relation if step == 1 else 2] += np.bincount(flat.reshape(-1), minlength=out.shape[1])
+        return out.reshape(3, n + 1, GROUPS + 1)[:, :n, :GROUPS].transpose(1, 0, 2).reshape(-1)
 
 
 class Inventory(Ranks):

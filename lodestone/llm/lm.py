@@ -3,8 +3,8 @@
 All counts (words, subwords, documents) are exact over all training documents, from the table of distinct words. Windows tile the training
 documents, so each token is a target once; from them come the subwords' profiles (see attention), by partition sums, and then the
 weights: in each of ROUNDS rounds partitions train from common weights on the next share of their windows, in one pass, and their weights are
-averaged in a tree. Only a partition with fewer than MIN_STEPS steps to make goes over its share again. Scoring goes over overlapping windows,
-each token once.
+averaged in a tree. Only a partition with fewer than MIN_STEPS steps to make goes over its share again, until it has made so many. Scoring goes
+over overlapping windows, each token once.
 
 A document's score is the sum over its tokens, the end of the text included, of the model's log probability; a word's is the product over its
 subwords, with what stands before as context. A word that has no subwords counts by its smoothed frequency.
@@ -172,6 +172,15 @@ def inventory_of(windows: DataFrame, counts: np.ndarray) -> attention.Inventory:
     return attention.Inventory(counts, partition_sums(windows.select("ids"), width, of, sparse, dense))
 
 
+def steps(ids: np.ndarray, rng: np.random.Generator, least: int) -> Iterator[np.ndarray]:
+    """The windows in batches, all once and in random order; where these are fewer than least, again from the start until there are so many."""
+    once = -(-len(ids) // BATCH)
+    for k in range(max(once, least)):
+        if k % once == 0:
+            order = rng.permutation(len(ids))
+        yield ids[order[k % once * BATCH :][:BATCH]]
+
+
 def train(windows: DataFrame, inventory: attention.Inventory, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Rounds of training in each partition, each on its own share of the windows, and averaging, weighted by the windows of each."""
     weights = attention.initial(inventory)
@@ -182,20 +191,12 @@ def train(windows: DataFrame, inventory: attention.Inventory, rounds: int = ROUN
     def learn(batches: Iterator[pa.RecordBatch], begin: dict[str, np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
         attention.keep_memory()
         p = {k: v.copy() for k, v in begin.items()}
-        adam, rng, seen, chunks = attention.Adam(p, RATE / (1 + turn)), np.random.default_rng(turn), 0, 0
-
-        def go_over(ids: np.ndarray) -> None:
-            order = rng.permutation(len(ids))
-            for s in range(0, len(ids), BATCH):
-                own = ids[order[s : s + BATCH]]
+        adam, rng, seen = attention.Adam(p, RATE / (1 + turn)), np.random.default_rng(turn), 0
+        for k, ids in enumerate(_unpacked(batches)):  # a part that others follow has PART_WINDOWS, which are more steps than MIN_STEPS
+            seen += len(ids)
+            for own in steps(ids, rng, 0 if k else MIN_STEPS):
                 _, g = attention.gradients(p, inventory, own[:, :-1], own[:, 1:])
                 adam.step(p, g)
-
-        for ids in _unpacked(batches):
-            seen, chunks = seen + len(ids), chunks + 1
-            go_over(ids)
-        while chunks == 1 and adam.t < MIN_STEPS:
-            go_over(ids)
         if seen:  # averages are sums of weights over the windows, in thousands, so that floats hold them
             yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "sums": [encode(np.append(attention.flatten(p).astype(float) * seen, seen) / 1e3)]}, schema=pa.schema([("at", pa.int64()), ("sums", pa.binary())]))
 

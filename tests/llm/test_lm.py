@@ -88,6 +88,17 @@ def test_tiles_follow_each_other_within_a_sequence():
         assert w[0] == (999 if w[1] in {0, *ends} else w[1] - 1) and set(np.diff(w[1:][w[1:] >= 0]).tolist()) <= {1}
 
 
+def test_a_share_is_gone_over_again_only_as_far_as_steps_are_missing():
+    rng = np.random.default_rng(0)
+    for n, least in ((190 * lm.BATCH, lm.MIN_STEPS), (7 * lm.BATCH + 5, 20), (300, 0), (1, 3), (lm.PART_WINDOWS, lm.MIN_STEPS)):
+        got, once = list(lm.steps(np.arange(n), rng, least)), -(-n // lm.BATCH)
+        assert len(got) == max(once, least)  # 200 steps, not twice 190
+        for s in range(0, len(got), once):
+            held = np.concatenate(got[s : s + once])
+            assert len(set(held.tolist())) == len(held) and (len(held) == n or s + once > len(got))
+    assert lm.PART_WINDOWS >= lm.MIN_STEPS * lm.BATCH
+
+
 def test_attention_carries_the_score_where_context_tells_the_word(spark):
     cycle = "the of and to in is for that with on as by at from it was be are this or".split()
     rows = [(i, " ".join(cycle[(i + k) % 20] for k in range(400))) for i in range(60)]
